@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .graph import blocked, components
 
-#: Parts of a code, directions to a part (CODES ** PARTS filters in all) and filters that a vector is to exceed on average.
-PARTS, CODES, FILTERS = 4, 64, 28
+#: Independent codes, parts of each, directions to a part (CODES ** PARTS filters to a code), and filters of one code
+#: that a vector exceeds on average. A single code leaves some vectors almost without filters, as their weight is
+#: spread evenly over its parts; sixteen rotations even that out.
+TABLES, PARTS, CODES, FILTERS = 16, 2, 1024, 3
 #: Members of a filter that one group compares.
 BLOCK = 512
 
 
 class ProductCode:
-    """Filter directions: all concatenations of one random direction for each part of the rotated space."""
+    """Filter directions: all concatenations of one random direction for each part of a randomly rotated space."""
 
-    def __init__(self, dim: int, parts: int = PARTS, codes: int = CODES, filters: float = FILTERS, seed: int = 8):
+    def __init__(self, dim: int, parts: int = PARTS, codes: int = CODES, filters: float = FILTERS, seed: int = 0, height: float | None = None):
         rng = np.random.default_rng([seed, dim])
         self.codes, self.parts = codes, min(parts, dim)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -31,22 +33,29 @@ class ProductCode:
         for cut in self.cuts:
             t = rng.standard_normal((codes, len(cut)))
             self.tables.append(t / np.linalg.norm(t, axis=1, keepdims=True) / np.sqrt(self.parts))
-        # The height that random vectors exceed ``filters`` times on average.
-        sample = rng.standard_normal((64, dim))
-        halves = [self._halves(v) for v in sample / np.linalg.norm(sample, axis=1, keepdims=True)]
-        low, high = -1.0, 1.0
-        for _ in range(40):
+        self.height = self._calibrated(rng.standard_normal((256, dim)), filters) if height is None else height
+
+    def _calibrated(self, sample: np.ndarray, filters: float) -> float:
+        """The height that random vectors exceed ``filters`` times on average."""
+        halves = self._halves(sample / np.linalg.norm(sample, axis=1, keepdims=True))
+        low, high = 0.0, 1.0
+        for _ in range(30):
             self.height = (low + high) / 2
-            n = np.mean([len(self._exceeding(*h)) for h in halves]) if self.height > 0.2 else np.inf
-            low, high = (self.height, high) if n > filters else (low, self.height)
+            n, most = 0, 4 * filters * len(sample)
+            for a, b in zip(*halves, strict=True):
+                n += len(self._exceeding(a, b))
+                if n > most:
+                    break
+            low, high = (self.height, high) if n > filters * len(sample) else (low, self.height)
+        return self.height
 
     def _halves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of inner products over the first and over the second half of the parts, for all their codes."""
-        r, sums = self.rotation @ v, []
+        """For each row: sums of inner products over the first and over the second half of the parts, for all their codes."""
+        r, sums = v @ self.rotation.T, []
         for half in (range(self.parts // 2), range(self.parts // 2, self.parts)):
-            s = np.zeros(1)
+            s = np.zeros((len(v), 1))
             for i in half:
-                s = (s[:, None] + (self.tables[i] @ r[self.cuts[i]])[None, :]).ravel()
+                s = (s[:, :, None] + (r[:, self.cuts[i]] @ self.tables[i].T)[:, None, :]).reshape(len(v), -1)
             sums.append(s)
         return sums[0], sums[1]
 
@@ -55,28 +64,30 @@ class ProductCode:
         x, y = np.nonzero(a[i][:, None] + b[j][None, :] >= self.height)
         return np.sort(i[x].astype(np.int64) * len(b) + j[y])
 
-    def decode(self, v: np.ndarray) -> np.ndarray:
-        """All filters whose direction has an inner product with the unit vector ``v`` of at least the height."""
-        return self._exceeding(*self._halves(v))
+    def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each unit vector all filters whose direction has an inner product with it of at least the height."""
+        return [self._exceeding(a, b) for a, b in zip(*self._halves(vectors), strict=True)]
 
 
-_codes: dict[tuple, ProductCode] = {}
+_codes: dict[tuple, list[ProductCode]] = {}
 
 
-def _code(*key) -> ProductCode:
+def _family(dim: int, tables: int, codes: int, filters: float) -> list[ProductCode]:
+    key = (dim, tables, codes, filters)
     if key not in _codes:
-        _codes[key] = ProductCode(*key)
+        first = ProductCode(dim, PARTS, codes, filters)
+        _codes[key] = [first, *(ProductCode(dim, PARTS, codes, filters, t, first.height) for t in range(1, tables))]
     return _codes[key]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, codes: int = CODES, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, codes: int = CODES, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine ``least`` or more: id, n_links, component_id, kept; a row for each row of ``vectors``.
 
     Each vector is put into every filter whose cap it lies in; pairs that share a filter are compared in double
     precision, so no link is false, and a link is missed only if its two vectors share none of their filters (recall
     is measured in the tests). Equal vectors are one class, compared once. Members of a filter meet in groups of two
     blocks; a pair counts in the first filter it shares. A group returns each vector's number of links and a
-    spanning forest of the links, never all pairs. ``codes`` is to grow with the fourth root of the table's size, so
+    spanning forest of the links, never all pairs. ``codes`` is to grow with the square root of the table's size, so
     that filters stay about as full as they are here.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component;
@@ -94,16 +105,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, codes: int = CODES, fi
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                x = np.array(x)
-                x = x / np.abs(x).max()
-                out.append(_code(len(x), PARTS, codes, filters).decode(x / np.linalg.norm(x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["c", "filters"])
-
-    decoded = scratch.save(classes.select("c", "v").mapInArrow(decode, "c long, filters array<long>"), "decoded")
-    inside = blocked(decoded.select("c", F.explode("filters").alias("filter")), "filter", "c", BLOCK, scratch, "caps")
-    inside = scratch.save(inside, "caps").join(decoded, "c").join(classes.select("c", "copies", "v"), "c")
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                vs = part.column(1).to_pylist()
+                out: list = [None] * len(vs)
+                for dim in {len(v) for v in vs}:
+                    at = [i for i, v in enumerate(vs) if len(v) == dim]
+                    x = np.array([vs[i] for i in at])
+                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    family = _family(dim, tables, codes, filters)
+                    found = [[f + t * codes**PARTS for f in code.decode(x)] for t, code in enumerate(family)]
+                    for k, i in enumerate(at):
+                        out[i] = np.concatenate([f[k] for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["c", "filters"])
+
+    decoded = classes.select("c", "v").mapInArrow(decode, "c long, filters array<long>").select("c", F.explode("filters").alias("filter"))
+    inside = scratch.save(blocked(scratch.save(decoded, "decoded"), "filter", "c", BLOCK, scratch, "caps"), "caps")
+    # Of a vector's filters those that another vector is in too: the others are no pair's first.
+    shared = scratch.save(inside.groupBy("c").agg(F.array_sort(F.collect_set("filter")).alias("filters")), "shared")
+    inside = inside.join(shared, "c").join(classes.select("c", "copies", "v"), "c")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """(c, links, other): links found here for c, and the other end of one link of a spanning forest."""
