@@ -36,16 +36,16 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, at, part = counter(vocabulary), 0, TaskContext.get().partitionId()
-        end, narrow = np.array([end_id], "<u4").tobytes(), None
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part_of = b.slice(lo, 512)
-                ids = [tok.ids(t) + end for t in part_of.column(1).to_pylist()]
+            for lo in range(0, b.num_rows, 256):
+                part_of = b.slice(lo, 256)
+                ids = [x + end for x in tok.ids(part_of.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 # two bytes an id where they suffice, which the first byte says
-                narrow = [b"\x02" + np.frombuffer(x, "<u4").astype("<u2").tobytes() if np.frombuffer(x, "<u4").max() < 65536 else b"\x04" + x for x in ids]
+                narrow = [b"\x02" + v.astype("<u2").tobytes() if (v := np.frombuffer(x, "<u4")).max() < 65536 else b"\x04" + x for x in ids]
                 yield pa.RecordBatch.from_arrays([part_of.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(starts), pa.array(n), pa.array(narrow, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
 
     scratch = Scratch(spark, "packing")

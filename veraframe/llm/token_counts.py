@@ -53,13 +53,16 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str | None = None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = counter(vocabulary)
-        for b in batches:
-            n = [len(tok.ids(t)) // 4 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                n = [len(ids) // 4 for ids in tok.ids(b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     missing.mapInArrow(encode, "digest binary, version string, n_tokens long").write.mode("append").option("compression", "zstd").parquet(cache_path)
     stored = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    found = rows.join(stored, "digest")
+    # Written once, so that the join deals both sides itself and a digest that many rows bear is split.
+    found = rows.join(Scratch(spark, "token-counts").save(stored, "stored"), "digest")
     return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
 
 
