@@ -100,14 +100,15 @@ class Mix:
         overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size) - F.greatest("start", F.col("block") * size)
         d = d.select("source_no", "start", "block", overlap.alias("words"))
         drawn = self.slots(seed, most).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-        return d.join(drawn, ["source_no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        # The planner takes unfolded slots to be as few as the sources they come from, and would broadcast them.
+        return d.join(drawn.hint("merge"), ["source_no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """A row for each input row: doc_id, size, source, source_size, target, taken."""
         words = self.uses.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
         with_words, without = self.docs.where("size > 0"), self.docs.where("size = 0")
         # A start is unique among documents with words.
-        docs = with_words.join(words, ["source_no", "start"]).select("doc_id", "size", "source_no", "taken").unionByName(without.select("doc_id", "size", "source_no", F.lit(0).cast("long").alias("taken")))
+        docs = with_words.join(words.hint("merge"), ["source_no", "start"]).select("doc_id", "size", "source_no", "taken").unionByName(without.select("doc_id", "size", "source_no", F.lit(0).cast("long").alias("taken")))
         s = self.sources.select("source_no", "source", "source_size", "target")
         return docs.join(self._small(s), "source_no").select("doc_id", "size", "source", "source_size", "target", "taken")
 
@@ -120,7 +121,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
     per_doc = mix.uses.groupBy("source_no", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.col("uses").cast("int").alias("uses")))), lambda b: b["uses"]).alias("_uses"))
-    per_doc = per_doc.where(F.array_max("_uses") > 0).join(mix.docs.where("size > 0").select("k_id", "k_text", "source", "source_no", "start"), ["source_no", "start"])
+    per_doc = per_doc.where(F.array_max("_uses") > 0).hint("merge").join(mix.docs.where("size > 0").select("k_id", "k_text", "source", "source_no", "start"), ["source_no", "start"])
     k_id, k_text = doc_key(id_col, text_col)
     # Rows alike in id, text and source are interchangeable: the i-th of them takes the i-th place.
     same = Window.partitionBy("k_id", "k_text", "source")
