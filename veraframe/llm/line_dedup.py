@@ -92,7 +92,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
     names = [f"_c{i}" for i in range(len(kept))]
     text = names[kept.index(text_col)]
     rows = docs.select(*doc_key(id_col, text_col), *kept).toDF("k_id", "k_text", *names)
-    rows = rows.join(gone, ["k_id", "k_text"], "left")
+    # Always by merge: a broadcast of few deletions would make small runs unlike large ones.
+    rows = rows.join(gone.hint("merge"), ["k_id", "k_text"], "left")
     lines = F.split(text_of(text), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
     new = F.when(F.col("lines").isNull(), F.col(text)).otherwise(left)
