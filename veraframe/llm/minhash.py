@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -54,6 +53,37 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint32(16)).astype("<u2")
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _candidates(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs among the rows lo to hi, one group ordered by component, that may be similar and share no earlier list."""
+    comp = v["component"]
+    if hi - lo < 2 or comp[lo] == comp[hi - 1]:
+        return None
+    this, across, n, part, c = v["e"][lo], v["lo"][lo] != v["hi"][lo], v["n"], v["part"], v["c"]
+    a_all, b_all = [], []
+    last = np.searchsorted(comp[lo:hi], comp[lo:hi], side="right") + lo  # where each row's component ends
+    for i in range(lo, hi):
+        start = last[i - lo]
+        if start == hi:
+            break
+        size = n[start:hi]
+        j = start + np.flatnonzero(den * np.minimum(size, n[i]) >= num * np.maximum(size, n[i]))
+        if across and len(j):
+            j = j[part[j] != part[i]]
+        if this and len(j):
+            j = j[~(by_post[j, :this] == by_post[i, :this]).any(axis=1)]
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_MATCHES]
+        if len(j):
+            a_all.append(np.full(len(j), c[i]))
+            b_all.append(c[j])
+    return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else None
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by den * |A and B| >= num * |A or B| over shingle sets.
 
@@ -93,9 +123,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     ranked = signed.where("name is not null").groupBy("name").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posts").alias("posts"))
     classes = scratch.save(ranked, "classes")
     key = F.xxhash64("name")
-    posts = classes.select(key.alias("c"), F.coalesce("first_id", F.lit(2**63 - 1)).alias("rank"), F.explode("posts").alias("post"))
+    posts = classes.select(key.alias("c"), F.coalesce("first_id", F.lit(2**63 - 1)).alias("rank"), F.posexplode("posts").alias("e", "post"))
     heads = scratch.save(posts.groupBy("post").agg(F.count("*").alias("size"), F.min(F.struct("rank", "c")).alias("head")).where("size > 1").select("post", F.col("head.c").alias("head")), "heads")
-    members = scratch.save(posts.join(heads, "post").select("post", "c", "head"), "members")
+    members = scratch.save(posts.join(heads, "post").select("post", "e", "c", "head"), "members")
 
     def right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # a repeated id may have other texts: keep the one of the class
@@ -135,38 +165,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     led = led.groupBy("c").agg(F.max(F.struct("lists", "head")).alias("m")).select(F.col("c").alias("a"), F.col("m.head").alias("b"))
     links = check(led, "led")
     near = scratch.save(components(links, scratch, "near"), "near")
-    placed = scratch.save(members.join(near.withColumnRenamed("node", "c"), "c", "left").select("post", "c", F.coalesce("component", "c").alias("component")), "placed")
+    placed = scratch.save(members.join(near.withColumnRenamed("node", "c"), "c", "left").select("post", "e", "c", F.coalesce("component", "c").alias("component")), "placed")
     mixed = placed.groupBy("post").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("post")
     rows = placed.join(scratch.save(mixed, "mixed"), "post")
     rows = scratch.save(blocked(rows, "post", "c", BLOCK, scratch, "merge"), "merge").join(classes.select(key.alias("c"), "n", "sig"), "c")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one group that agree in enough coordinates and for which this is the first list they share."""
-        pdf = pdf.sort_values(["component", "c"], ignore_index=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, COORDINATES)
-        by_post = [sig[:, ROWS * i : ROWS * i + ROWS].astype(np.uint64) @ np.array([1, 2**16, 2**32], np.uint64) for i in range(COMPOSITES)]
-        n, comp, part, c = (pdf[x].to_numpy() for x in ("n", "component", "part", "c"))
-        post, across = pdf["post"].iat[0], pdf["lo"].iat[0] != pdf["hi"].iat[0]
-        this = next(i for i in range(COMPOSITES) if xxhash.xxh3_64_intdigest(sig[0, ROWS * i : ROWS * i + ROWS].tobytes(), i) - 2**63 == post)
-        a_all, b_all = [], []
-        for i in range(len(c) - 1):
-            j = np.arange(i + 1, len(c))
-            j = j[(comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
-            if across:
-                j = j[part[j] != part[i]]
-            for e in range(this):
-                if not len(j):
-                    break
-                j = j[by_post[e][j] != by_post[e][i]]
-            if len(j):
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_MATCHES]
-                a_all.append(np.full(len(j), c[i]))
-                b_all.append(c[j])
-        if not a_all:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(a_all), "b": np.concatenate(b_all)})
-
-    rest = rows.groupBy("post", "lo", "hi").applyInPandas(merge, "a long, b long")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one group that agree in enough coordinates and for which this is the first list they share.
+
+        Groups come one after the other; what a batch cuts off waits for the next, which is one bounded group.
+        """
+        names, held = ["post", "lo", "hi", "e", "c", "component", "n", "part"], None
+        for b in _with_end(batches):
+            new = pa.Table.from_batches([b]) if b is not None else None
+            t = new if held is None else held if new is None else pa.concat_tables([held, new])
+            if t is None or not t.num_rows:
+                continue
+            v = {k: t.column(k).to_numpy() for k in names}
+            group = np.flatnonzero(np.r_[True, (np.diff(v["post"]) != 0) | (np.diff(v["lo"]) != 0) | (np.diff(v["hi"]) != 0)])
+            whole = group[-1] if b is not None else t.num_rows  # the last group may go on
+            held = t.slice(whole) if b is not None else None
+            if not whole:
+                continue
+            sig = np.frombuffer(b"".join(t.slice(0, whole).column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+            by_post = (sig[:, : ROWS * COMPOSITES].reshape(len(sig), COMPOSITES, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2, dtype=np.uint64)
+            pairs = [_candidates(lo, hi, v, sig, by_post, num, den) for lo, hi in zip(group, np.append(group[1:], t.num_rows), strict=True) if hi <= whole]
+            pairs = [p for p in pairs if p is not None]
+            if pairs:
+                a, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    dealt = rows.select("post", "lo", "hi", F.col("e").cast("int").alias("e"), "c", "component", "n", "part", "sig").repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi", "component", "c")
+    rest = dealt.mapInArrow(merge, "a long, b long")
     more = check(rest, "rest")
     every = scratch.save(components(links.union(more), scratch, "all"), "all")
     ranks = classes.select(key.alias("node"), "first_id", "name").join(every, "node", "left").select("name", "first_id", F.coalesce("component", "node").alias("component"))
