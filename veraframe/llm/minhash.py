@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +59,21 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _candidates(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs among the rows lo to hi, one group ordered by component, that may be similar and share no earlier list."""
+def _set_of(z: bytes, words: int) -> np.ndarray:
+    return shingle_set(zstandard.decompress(z), words)
+
+
+def _similar(x: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each of some sets: whether it is similar enough to the set x."""
+    size = np.array([len(y) for y in others])
+    every = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+    return den * shared >= num * (len(x) + size - shared)
+
+
+def _links(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post: np.ndarray, full, num: int, den: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Links across components among the rows lo to hi, one group ordered by component, but for pairs that share an earlier list."""
     comp = v["component"]
     if hi - lo < 2 or comp[lo] == comp[hi - 1]:
         return None
@@ -78,9 +92,11 @@ def _candidates(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_
             j = j[~(by_post[j, :this] == by_post[i, :this]).any(axis=1)]
         if len(j):
             j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_MATCHES]
-        if len(j):
-            a_all.append(np.full(len(j), c[i]))
-            b_all.append(c[j])
+        for k in range(0, len(j), 256):
+            some = j[k : k + 256]
+            some = some[_similar(full(i), [full(x) for x in some], num, den)]
+            a_all.append(np.full(len(some), c[i]))
+            b_all.append(c[some])
     return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else None
 
 
@@ -93,8 +109,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     similarity 0.8 shares none is 3e-8. Lists of one are skipped. First each class is checked against the one first
     member that heads most of its lists; these links give components. Then only lists that still hold several
     components are merged: block by block, pairs of different components of which LEAST_MATCHES of all coordinates
-    agree, each in the first list the pair shares, are checked. Checks are on full sets. Pairs already in one
-    component need no check, so a large group of near copies costs about a check for each member.
+    agree are checked, each in the first list the pair shares, and only links leave the task. Checks are on full sets.
+    Pairs already in one component need no check, so a large group of near copies costs about a check for each member.
 
     Null and empty texts and texts without words have empty sets and are linked with nothing. A null id is never the
     smallest; if a whole group has null ids its component_id is null, and kept is a comparison that takes nulls as
@@ -127,39 +143,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     heads = scratch.save(posts.groupBy("post").agg(F.count("*").alias("size"), F.min(F.struct("rank", "c")).alias("head")).where("size > 1").select("post", F.col("head.c").alias("head")), "heads")
     members = scratch.save(posts.join(heads, "post").select("post", "e", "c", "head"), "members")
 
-    def right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a repeated id may have other texts: keep the one of the class
-            keep = [hashlib.blake2b(shingle_set(t, words).tobytes(), digest_size=16).digest() == m for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["c", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    # The texts of all classes that share a list, a third of the corpus or so, are fetched once.
+    # The texts of all classes that share a list are fetched once, and travel compressed.
     wanted = scratch.save(members.select("c").distinct(), "wanted")
     lowest = F.lit(-(2**63))
     ids = scratch.save(classes.select(key.alias("c"), F.coalesce("first_id", lowest).alias("k"), "name").join(wanted, "c"), "ids")
-    texts = source.select(F.coalesce("id", lowest).alias("k"), "text").join(ids, "k").select("c", "text", "name").mapInArrow(right_text, "c long, text binary")
-    texts = scratch.save(texts.groupBy("c").agg(F.first("text").alias("text")), "texts")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([small.compress(t) for t in b.column(1).to_pylist()], pa.binary())], ["k", "z"])
+
+    def right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a repeated id may have other texts: keep those of the class
+            keep = [hashlib.blake2b(_set_of(z, words).tobytes(), digest_size=16).digest() == m for z, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["c", "z"]).filter(pa.array(keep, pa.bool_()))
+
+    squeezed = source.select(F.coalesce("id", lowest).alias("k"), "text").mapInArrow(squeeze, "k long, z binary")
+    texts = scratch.save(squeezed.join(ids.hint("merge"), "k").select("c", "z", "name").mapInArrow(right_text, "c long, z binary"), "texts")
+    if texts.count() > wanted.count():  # rows of a repeated id
+        texts = scratch.save(texts.groupBy("c").agg(F.first("z").alias("z")), "one-text")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        pairs = scratch.save(pairs, f"{name}-pairs")
-        joined = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+        joined = scratch.save(pairs, f"{name}-pairs").join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")).hint("merge"), "a").join(texts.select(F.col("c").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[int, np.ndarray] = {}
             for batch in batches:
                 keep = []
-                for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for a, b, za, zb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if len(known) > 2000:
                         known.clear()
-                    for c, t in ((a, ta), (b, tb)):
+                    for c, z in ((a, za), (b, zb)):
                         if c not in known:
-                            known[c] = shingle_set(t, words)
-                    x, y = known[a], known[b]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * shared >= num * (len(x) + len(y) - shared))
+                            known[c] = _set_of(z, words)
+                    keep.append(bool(_similar(known[a], [known[b]], num, den)[0]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return scratch.save(joined.select("a", "b", "ta", "tb").mapInArrow(similar, "a long, b long"), f"{name}-links")
+        return scratch.save(joined.select("a", "b", "za", "zb").mapInArrow(similar, "a long, b long"), f"{name}-links")
 
     led = members.where("c <> head").groupBy("c", "head").agg(F.count("*").alias("lists"))
     led = led.groupBy("c").agg(F.max(F.struct("lists", "head")).alias("m")).select(F.col("c").alias("a"), F.col("m.head").alias("b"))
@@ -168,10 +189,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     placed = scratch.save(members.join(near.withColumnRenamed("node", "c"), "c", "left").select("post", "e", "c", F.coalesce("component", "c").alias("component")), "placed")
     mixed = placed.groupBy("post").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("post")
     rows = placed.join(scratch.save(mixed, "mixed"), "post")
-    rows = scratch.save(blocked(rows, "post", "c", BLOCK, scratch, "merge"), "merge").join(classes.select(key.alias("c"), "n", "sig"), "c")
+    rows = scratch.save(blocked(rows, "post", "c", BLOCK, scratch, "merge"), "merge")
+    rows = rows.join(classes.select(key.alias("c"), "n", "sig").hint("merge"), "c").join(texts.hint("merge"), "c")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one group that agree in enough coordinates and for which this is the first list they share.
+        """Links within one group, found in the first list that a pair shares and checked on full sets there.
 
         Groups come one after the other; what a batch cuts off waits for the next, which is one bounded group.
         """
@@ -189,15 +211,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 continue
             sig = np.frombuffer(b"".join(t.slice(0, whole).column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
             by_post = (sig[:, : ROWS * COMPOSITES].reshape(len(sig), COMPOSITES, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2, dtype=np.uint64)
-            pairs = [_candidates(lo, hi, v, sig, by_post, num, den) for lo, hi in zip(group, np.append(group[1:], t.num_rows), strict=True) if hi <= whole]
+            z, sets = t.column("z"), {}
+
+            def full(i: int, z: pa.ChunkedArray = z, sets: dict = sets) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = _set_of(z[i].as_py(), words)
+                return sets[i]
+
+            pairs = [_links(lo, hi, v, sig, by_post, full, num, den) for lo, hi in zip(group, np.append(group[1:], t.num_rows), strict=True) if hi <= whole]
             pairs = [p for p in pairs if p is not None]
             if pairs:
                 a, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    dealt = rows.select("post", "lo", "hi", F.col("e").cast("int").alias("e"), "c", "component", "n", "part", "sig").repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi", "component", "c")
-    rest = dealt.mapInArrow(merge, "a long, b long")
-    more = check(rest, "rest")
+    dealt = rows.select("post", "lo", "hi", F.col("e").cast("int").alias("e"), "c", "component", "n", "part", "sig", "z").repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi", "component", "c")
+    more = scratch.save(dealt.mapInArrow(merge, "a long, b long"), "merged")
     every = scratch.save(components(links.union(more), scratch, "all"), "all")
     ranks = classes.select(key.alias("node"), "first_id", "name").join(every, "node", "left").select("name", "first_id", F.coalesce("component", "node").alias("component"))
     ranks = scratch.save(ranks, "ranks")
