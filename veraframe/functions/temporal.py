@@ -120,10 +120,10 @@ def realized(c: Column, kind: str, text: bool) -> Column:
     return {"date": date_from_days, "datetime": datetime_from_seconds, "time": time_from_seconds}[kind](c)
 
 
-def seconds_of(c: Column) -> Column:
-    """Seconds in an interval, with their fraction and sign."""
-    part = lambda p: F.extract(F.lit(p), c)
-    return (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60).cast("double") + part("SECOND").cast("double")
+def micros_of(c: Column) -> Column:
+    """Whole microseconds in an interval, with their sign."""
+    zero = F.lit(f"{EPOCH} 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", zero, zero + c)
 
 
 def deflated(c: Column, kind: str) -> Column:
@@ -132,17 +132,17 @@ def deflated(c: Column, kind: str) -> Column:
         return F.datediff(c, F.lit(EPOCH).cast("date")).cast("double")
     if kind == "datetime":
         return F.timestamp_diff("MICROSECOND", F.lit(f"{EPOCH} 00:00:00").cast("timestamp_ntz"), c) / F.lit(1_000_000.0)
-    return seconds_of(c)
+    return micros_of(c) / F.lit(1_000_000.0)
 
 
 def time_text(c: Column) -> Column:
     """``[-]HH:MM:SS[.ffffff]`` of an interval, without trailing zeros; hours may exceed 24."""
-    micros = F.round(seconds_of(c) * 1_000_000).cast("long")
-    whole, rest = F.abs(micros) - F.pmod(F.abs(micros), F.lit(1_000_000)), F.pmod(F.abs(micros), F.lit(1_000_000))
-    s = F.floor(whole / 1_000_000)
+    micros = micros_of(c)
+    s = F.floor(F.abs(micros) / 1_000_000)
     clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
+    rest = F.pmod(F.abs(micros), F.lit(1_000_000))
     fraction = F.when(rest > 0, F.rtrim(F.format_string(".%06d", rest), F.lit("0"))).otherwise("")
-    return F.concat(F.when(micros < 0, "-").otherwise(""), clock, fraction)
+    return F.when(c.isNotNull(), F.concat(F.when(micros < 0, "-").otherwise(""), clock, fraction))
 
 
 def iso_text(c: Column, kind: str) -> Column:
