@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .graph import blocked, components
+from .graph import blocked, components, whole_groups
 
 #: Independent codes, parts of each, directions to a part (CODES ** PARTS filters to a code), and filters of one code
 #: that a vector exceeds on average. A single code leaves some vectors almost without filters, as their weight is
@@ -80,6 +79,35 @@ def _family(dim: int, tables: int, codes: int, filters: float) -> list[ProductCo
     return _codes[key]
 
 
+def _count_links(near: np.ndarray, rows: slice, v: dict[str, np.ndarray], lists: pa.ChunkedArray, out: list[tuple]) -> None:
+    """Add the links of one group of which this is the first filter that both vectors are in."""
+    this, c, copies = v["filter"][rows.start], v["c"][rows], v["copies"][rows]
+    if v["lo"][rows.start] != v["hi"][rows.start]:
+        near &= v["part"][rows][:, None] != v["part"][rows][None, :]
+    at = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+    earlier = [[f for f in lists[rows.start + int(i)].as_py() if f < this] for i in at]
+    known = {f: k for k, f in enumerate(sorted({f for e in earlier for f in e}))}
+    if known:
+        has = np.zeros((len(at), len(known)), np.float32)
+        for i, e in enumerate(earlier):
+            has[i, [known[f] for f in e]] = 1
+        near[np.ix_(at, at)] &= (has @ has.T) == 0
+    links = near @ copies + near.T @ copies
+    root = list(range(len(c)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out += [(c[i], links[i], c[i]) for i in np.flatnonzero(links)]
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = top(i), top(j)
+        if a != b:
+            root[b] = a
+            out.append((c[i], 0, c[j]))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, codes: int = CODES, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine ``least`` or more: id, n_links, component_id, kept; a row for each row of ``vectors``.
 
@@ -126,47 +154,31 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
     shared = scratch.save(inside.groupBy("c").agg(F.array_sort(F.collect_set("filter")).alias("filters")), "shared")
     inside = inside.join(shared, "c").join(classes.select("c", "copies", "v"), "c")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(c, links, other): links found here for c, and the other end of one link of a spanning forest."""
-        this, across = pdf["filter"].iat[0], pdf["lo"].iat[0] != pdf["hi"].iat[0]
-        out = []
-        dims = pdf["v"].map(len)
-        for dim in dims.unique():
-            g = pdf[dims == dim].sort_values("c")
-            x = np.stack(g["v"].to_numpy()).astype(float)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            near = np.triu(np.clip(x @ x.T, -1, 1) >= least, 1)
-            part = g["part"].to_numpy()
-            if across:
-                near &= part[:, None] != part[None, :]
-            c, copies, lists = g["c"].to_numpy(), g["copies"].to_numpy(), [np.asarray(f) for f in g["filters"]]
-            # Filters before this one that both have: the pair counts there.
-            before = {f: k for k, f in enumerate(sorted({f for l in lists for f in l[l < this].tolist()}))}
-            if before:
-                has = np.zeros((len(c), len(before)), np.float32)
-                for i, l in enumerate(lists):
-                    has[i, [before[f] for f in l[l < this].tolist()]] = 1
-                near &= (has @ has.T) == 0
-            links = near @ copies + near.T @ copies
-            root = list(range(len(c)))
-
-            def top(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                return i
-
-            for i in range(len(c)):
-                if links[i]:
-                    out.append((c[i], links[i], c[i]))
-            for i, j in zip(*np.nonzero(near), strict=True):
-                a, b = top(i), top(j)
-                if a != b:
-                    root[b] = a
-                    out.append((c[i], 0, c[j]))
-        return pd.DataFrame(out, columns=["c", "links", "other"]).astype("int64")
-
-    found = scratch.save(inside.groupBy("filter", "lo", "hi").applyInPandas(compare, "c long, links long, other long"), "found")
+        for t, bounds in whole_groups(batches, ["filter", "lo", "hi", "dim"]):
+            v = {k: t.column(k).to_numpy() for k in ("filter", "lo", "hi", "dim", "c", "part", "copies")}
+            lists, rows = t.column("filters"), t.column("v")
+            unit: dict[int, np.ndarray] = {}  # by dimension, of all rows of it in their order
+            place = np.zeros(t.num_rows, np.int64)
+            for dim in np.unique(v["dim"]):
+                at = np.flatnonzero(v["dim"] == dim)
+                x = rows.take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                unit[dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+                place[at] = np.arange(len(at))
+            out: list[tuple] = []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo > 1:
+                    x = unit[v["dim"][lo]][place[lo] : place[lo] + hi - lo]
+                    near = np.triu(np.clip(x @ x.T, -1, 1) >= least, 1)
+                    if near.any():
+                        _count_links(near, slice(lo, hi), v, lists, out)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["c", "links", "other"])
+
+    inside = inside.select("filter", "lo", "hi", F.size("v").cast("int").alias("dim"), "c", "part", "copies", "filters", "v")
+    dealt = inside.repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "dim", "c")
+    found = scratch.save(dealt.mapInArrow(compare, "c long, links long, other long"), "found")
     joined = components(found.select(F.col("c").alias("a"), F.col("other").alias("b")), scratch, "linked")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     known = classes.select("c", "n1", "n2", "first_id", "copies").join(links, "c", "left").join(joined.withColumnRenamed("node", "c"), "c", "left")

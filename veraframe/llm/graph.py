@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +50,29 @@ def blocked(rows: DataFrame, key: str, member: str, size: int, scratch: Scratch,
     dealt = rows.join(counts, key).withColumn("part", F.pmod(F.xxhash64(F.col(member), F.lit(5)), g).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), (g - 1).cast("int"))))
     return dealt.withColumn("lo", F.least("part", "_other")).withColumn("hi", F.greatest("part", "_other")).drop("_other", "_n")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of rows that are ordered by ``keys`` as tables of whole groups, with the bounds of these.
+
+    What a batch cuts off waits for the next: a group, which must be of bounded size. For very many small groups this
+    costs much less than a call for each.
+    """
+    held: pa.Table | None = None
+    for b in batches:
+        new = pa.Table.from_batches([b])
+        t = new if held is None else pa.concat_tables([held, new])
+        if t.num_rows:
+            starts = _starts(t, keys)
+            held = t.slice(starts[-1])
+            if starts[-1]:
+                yield t.slice(0, starts[-1]), starts
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(t.num_rows - 1, bool)
+    for k in keys:
+        changed |= np.diff(t.column(k).to_numpy()) != 0
+    return np.flatnonzero(np.r_[True, changed])

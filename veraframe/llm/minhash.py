@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, text_of
-from .graph import blocked, components
+from .graph import blocked, components, whole_groups
 
 #: Coordinates of a signature; those that are posted, in composites of three; bits kept of each.
 COORDINATES, COMPOSITES, ROWS = 128, 24, 3
@@ -54,11 +54,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint32(16)).astype("<u2")
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def _set_of(z: bytes, words: int) -> np.ndarray:
     return shingle_set(zstandard.decompress(z), words)
 
@@ -193,23 +188,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = rows.join(classes.select(key.alias("c"), "n", "sig").hint("merge"), "c").join(texts.hint("merge"), "c")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links within one group, found in the first list that a pair shares and checked on full sets there.
-
-        Groups come one after the other; what a batch cuts off waits for the next, which is one bounded group.
-        """
-        names, held = ["post", "lo", "hi", "e", "c", "component", "n", "part"], None
-        for b in _with_end(batches):
-            new = pa.Table.from_batches([b]) if b is not None else None
-            t = new if held is None else held if new is None else pa.concat_tables([held, new])
-            if t is None or not t.num_rows:
-                continue
+        """Links within one group, found in the first list that a pair shares and checked on full sets there."""
+        names = ["post", "lo", "hi", "e", "c", "component", "n", "part"]
+        for t, bounds in whole_groups(batches, ["post", "lo", "hi"]):
             v = {k: t.column(k).to_numpy() for k in names}
-            group = np.flatnonzero(np.r_[True, (np.diff(v["post"]) != 0) | (np.diff(v["lo"]) != 0) | (np.diff(v["hi"]) != 0)])
-            whole = group[-1] if b is not None else t.num_rows  # the last group may go on
-            held = t.slice(whole) if b is not None else None
-            if not whole:
-                continue
-            sig = np.frombuffer(b"".join(t.slice(0, whole).column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
             by_post = (sig[:, : ROWS * COMPOSITES].reshape(len(sig), COMPOSITES, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2, dtype=np.uint64)
             z, sets = t.column("z"), {}
 
@@ -218,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                     sets[i] = _set_of(z[i].as_py(), words)
                 return sets[i]
 
-            pairs = [_links(lo, hi, v, sig, by_post, full, num, den) for lo, hi in zip(group, np.append(group[1:], t.num_rows), strict=True) if hi <= whole]
+            pairs = [_links(lo, hi, v, sig, by_post, full, num, den) for lo, hi in zip(bounds, bounds[1:], strict=False)]
             pairs = [p for p in pairs if p is not None]
             if pairs:
                 a, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
