@@ -29,7 +29,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id, by five-word shingles."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     kept = Scratch(spark, "kept").save(kept.withColumnRenamed("doc_id", "_kept"), "ids")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # By merge at every size, so that small runs tell what large ones do.
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
     rows = docs.select(k_id.alias("_k"), k_text.alias("_t"), *docs.columns).toDF("_k", "_t", *names)
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t", at[source_col]).orderBy(F.lit(1)))) if _repeats(per_doc) else rows.withColumn("_n", F.lit(1))
-    found = rows.join(per_doc, (F.col("_k") == F.col("k_id")) & (F.col("_t") == F.col("k_text")) & F.col(at[source_col]).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_copy")))
+    found = rows.join(per_doc.hint("merge"), (F.col("_k") == F.col("k_id")) & (F.col("_t") == F.col("k_text")) & F.col(at[source_col]).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_copy")))
     found = found.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max("_uses"))))
     first = F.floor(F.col("_start") / mix.block_words)
     words = F.regexp_extract_all(F.col(at[text_col]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
