@@ -84,7 +84,7 @@ class Features:
 class Ftrl:
     """Logistic regression by FTRL-Proximal; the last weight is the bias."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -116,7 +116,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int, .
     return d.join(F.broadcast(l), "_id").groupBy("_id").agg(F.first("text").alias("text"), F.first("y").alias("y"))
 
 
-def train(sample: DataFrame, features: Features, shards: int = 8, epochs: int = 3) -> np.ndarray:
+def train(sample: DataFrame, features: Features, shards: int = 2, epochs: int = 4) -> np.ndarray:
     """Weights fitted on ``sample`` (_id, text, y): each shard by hash runs FTRL over its rows, the shards' weights are averaged.
 
     ``sample`` is bounded by its maker, and a shard returns one array of weights, so the driver gets ``shards`` arrays.
