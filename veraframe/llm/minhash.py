@@ -67,18 +67,17 @@ def _similar(x: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.
     return den * shared >= num * (len(x) + size - shared)
 
 
-def _links(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post: np.ndarray, full, num: int, den: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Links across components among the rows lo to hi, one group ordered by component, but for pairs that share an earlier list."""
+def _candidates(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows) among the rows lo to hi, one group ordered by component: pairs of different components that agree in enough coordinates and share no earlier list."""
     comp = v["component"]
     if hi - lo < 2 or comp[lo] == comp[hi - 1]:
-        return None
-    this, across, n, part, c = v["e"][lo], v["lo"][lo] != v["hi"][lo], v["n"], v["part"], v["c"]
-    a_all, b_all = [], []
+        return
+    this, across, n, part = v["e"][lo], v["lo"][lo] != v["hi"][lo], v["n"], v["part"]
     last = np.searchsorted(comp[lo:hi], comp[lo:hi], side="right") + lo  # where each row's component ends
     for i in range(lo, hi):
         start = last[i - lo]
         if start == hi:
-            break
+            return
         size = n[start:hi]
         j = start + np.flatnonzero(den * np.minimum(size, n[i]) >= num * np.maximum(size, n[i]))
         if across and len(j):
@@ -87,12 +86,18 @@ def _links(lo: int, hi: int, v: dict[str, np.ndarray], sig: np.ndarray, by_post:
             j = j[~(by_post[j, :this] == by_post[i, :this]).any(axis=1)]
         if len(j):
             j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_MATCHES]
-        for k in range(0, len(j), 256):
-            some = j[k : k + 256]
-            some = some[_similar(full(i), [full(x) for x in some], num, den)]
-            a_all.append(np.full(len(some), c[i]))
-            b_all.append(c[some])
-    return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else None
+        if len(j):
+            yield i, j
+
+
+_GROUP = ["post", "lo", "hi", "e", "c", "component", "n", "part"]
+
+
+def _read(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Columns, signatures and composite coordinates of rows."""
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+    by_post = (sig[:, : ROWS * COMPOSITES].reshape(len(sig), COMPOSITES, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2, dtype=np.uint64)
+    return {k: t.column(k).to_numpy() for k in _GROUP}, sig, by_post
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        joined = scratch.save(pairs, f"{name}-pairs").join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")).hint("merge"), "a").join(texts.select(F.col("c").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
+        joined = pairs.join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")).hint("merge"), "a").join(texts.select(F.col("c").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[int, np.ndarray] = {}
@@ -179,35 +184,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     led = members.where("c <> head").groupBy("c", "head").agg(F.count("*").alias("lists"))
     led = led.groupBy("c").agg(F.max(F.struct("lists", "head")).alias("m")).select(F.col("c").alias("a"), F.col("m.head").alias("b"))
-    links = check(led, "led")
+    signs = classes.select(key.alias("c"), "n", "sig")
+    led = led.join(signs.toDF("a", "na", "sa").hint("merge"), "a").join(signs.toDF("b", "nb", "sb").hint("merge"), "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sizes and signatures allow a link; only their texts are fetched."""
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, COORDINATES) for i in (2, 3))
+            n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
+            keep = ((x == y).sum(axis=1) >= LEAST_MATCHES) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    links = check(scratch.save(led.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(alike, "a long, b long"), "led"), "led")
     near = scratch.save(components(links, scratch, "near"), "near")
     placed = scratch.save(members.join(near.withColumnRenamed("node", "c"), "c", "left").select("post", "e", "c", F.coalesce("component", "c").alias("component")), "placed")
     mixed = placed.groupBy("post").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("post")
     rows = placed.join(scratch.save(mixed, "mixed"), "post")
     rows = scratch.save(blocked(rows, "post", "c", BLOCK, scratch, "merge"), "merge")
-    rows = rows.join(classes.select(key.alias("c"), "n", "sig").hint("merge"), "c").join(texts.hint("merge"), "c")
+    rows = rows.join(signs.hint("merge"), "c").select("post", "lo", "hi", F.col("e").cast("int").alias("e"), "c", "component", "n", "part", "sig")
+    by, order = ["post", "lo", "hi"], ["post", "lo", "hi", "component", "c"]
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group that have a candidate in it; only their texts are fetched."""
+        for t, bounds in whole_groups(batches, by):
+            v, sig, by_post = _read(t)
+            hit = np.zeros(t.num_rows, bool)
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                for i, j in _candidates(lo, hi, v, sig, by_post, num, den):
+                    hit[i] = hit[j] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within one group, found in the first list that a pair shares and checked on full sets there."""
-        names = ["post", "lo", "hi", "e", "c", "component", "n", "part"]
-        for t, bounds in whole_groups(batches, ["post", "lo", "hi"]):
-            v = {k: t.column(k).to_numpy() for k in names}
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
-            by_post = (sig[:, : ROWS * COMPOSITES].reshape(len(sig), COMPOSITES, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2, dtype=np.uint64)
-            z, sets = t.column("z"), {}
+        for t, bounds in whole_groups(batches, by):
+            v, sig, by_post = _read(t)
+            z, sets, out = t.column("z"), {}, []
 
             def full(i: int, z: pa.ChunkedArray = z, sets: dict = sets) -> np.ndarray:
                 if i not in sets:
-                    sets[i] = _set_of(z[i].as_py(), words)
+                    sets[i] = _set_of(z[int(i)].as_py(), words)
                 return sets[i]
 
-            pairs = [_links(lo, hi, v, sig, by_post, full, num, den) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-            pairs = [p for p in pairs if p is not None]
-            if pairs:
-                a, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    dealt = rows.select("post", "lo", "hi", F.col("e").cast("int").alias("e"), "c", "component", "n", "part", "sig", "z").repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi", "component", "c")
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                for i, j in _candidates(lo, hi, v, sig, by_post, num, den):
+                    for k in range(0, len(j), 256):
+                        some = j[k : k + 256]
+                        some = some[_similar(full(i), [full(x) for x in some], num, den)]
+                        out.append((np.full(len(some), v["c"][i]), v["c"][some]))
+            if out:
+                a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    schema = "post long, lo int, hi int, e int, c long, component long, n long, part int, sig binary"
+    flagged = scratch.save(rows.repartition(*by).sortWithinPartitions(*order).mapInArrow(flag, schema), "flagged")
+    dealt = flagged.join(texts.hint("merge"), "c").select(*_GROUP, "sig", "z").repartition(*by).sortWithinPartitions(*order)
     more = scratch.save(dealt.mapInArrow(merge, "a long, b long"), "merged")
     every = scratch.save(components(links.union(more), scratch, "all"), "all")
     ranks = classes.select(key.alias("node"), "first_id", "name").join(every, "node", "left").select("name", "first_id", F.coalesce("component", "node").alias("component"))
