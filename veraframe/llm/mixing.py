@@ -82,7 +82,9 @@ class Mix:
         before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
         s = s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all", F.sum("slots").over(Window.partitionBy())).where("slots > 0")
         c = s.select("source_no", "n", "slots", "first", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / _CHUNK))).alias("chunk"))
-        c = c.repartition("source_no", "chunk")
+        # A number of partitions by the words there are: the few rows here say nothing of what they unfold into.
+        words = self.sources.agg(F.sum("source_size")).first()[0] or 0
+        c = c.repartition(1 + words // (size * _CHUNK * 4), "source_no", "chunk")
         k = F.col("chunk") * _CHUNK + F.col("i")
         c = c.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_CHUNK - 1), F.col("slots") - 1 - F.col("chunk") * _CHUNK)))).withColumn("slot", k)
         place = permuted(F.col("first") + F.col("slot"), F.col("all"), F.lit(seed))
