@@ -18,10 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and with them documents that held nothing else."""
+    """Later copies of repeated line runs that hold a word go, and with them documents that held nothing else."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text, doc_id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
-    left = dedup_lines(docs.toDF(*names), id_col=doc_id, text_col=text).where("not emptied")
+    left = dedup_lines(docs.toDF(*names), min_words=1, id_col=doc_id, text_col=text).where("not emptied")
     return left.select(*names).toDF(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from veraframe.llm.line_dedup import dedup_lines, op9_line_dedup
 
 from .helpers import SMALL, WORD, empty_documents, odd_documents, rows
@@ -85,6 +86,21 @@ def test_corpus(spark):
     assert got == minimal(docs, 10)
 
 
+def test_short_runs_go_from_op9_and_the_pipeline(spark, tmp_path):
+    docs = [(i, f"own text {i}\nall rights reserved\n\nmore of {i}\nhome") for i in range(1, 6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: t if i == 1 else f"own text {i}\nmore of {i}" for i, t in docs}
+    assert {r.doc_id: r.text for r in op9_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, rows(spark, "documents", tmp_path), str(tmp_path)).collect()} == want
+
+
+def test_corpus_keeps_one_copy_of_each_line(spark):
+    docs = [(r.doc_id, r.text) for r in rows(spark, "documents").collect()]
+    got = {r.doc_id: r.text for r in op9_line_dedup(spark, SMALL).collect()}
+    left = [x for t in got.values() for x in t.split("\n") if WORD.search(x)]
+    assert got == minimal(docs, 1) and len(left) == len(set(left)) and set(left) == {x for _, t in docs for x in t.split("\n") if WORD.search(x)}
+
+
 def test_first_copy_of_a_long_passage_stays(spark):
     passage = "\n".join(" ".join(f"w{i}_{j}" for j in range(9)) for i in range(7))
     docs = [(1, f"intro one\n{passage}\nend one"), (2, f"intro two\n{passage}\nend two"), (3, "a clean text of its own\nwith lines")]

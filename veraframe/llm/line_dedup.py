@@ -33,7 +33,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
     A run is repeated if its lines stand elsewhere too, in the same order and without overlap, and hold
     ``min_words`` words. Each line of such a run lies in a shortest window of that many words that starts at the line
     or that ends the run, so these windows are tested; a window that has an earlier copy, by document id and line,
-    loses its lines. The first copy of any line thus stays.
+    loses its lines. The first copy of any line thus stays. A floor of more than one word protects short lines: later
+    copies of runs below it stay, in however many documents.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
@@ -102,5 +103,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without later copies of repeated runs of ten words or more."""
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "emptied")
+    """All documents without later copies of repeated runs that hold a word."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed", "emptied")
