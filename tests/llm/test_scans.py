@@ -86,6 +86,17 @@ def test_learnt_formats_find_what_patterns_miss(spark):
     assert got[1000] == "format:8:36" and got[1001] == ""
 
 
+def test_formats_are_learnt_from_all_of_the_byte_order(spark):
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(20))
+    # Some 16 values for each bucket, half of them at either end of the byte order.
+    docs = [(i, "\n".join(f"token={rng.choice('+z')}{hexes(20)} {plain()}" for _ in range(220))) for i in range(300)]
+    docs += [(1000, f"here is z{hexes(20)} alone"), (1001, f"here is +{hexes(20)} alone"), (1002, f"here is {plain()} alone")]
+    got = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[1000], got[1001], got[1002]) == ("format:8:29", "format:8:29", "")
+
+
 def test_inferred_automaton_keeps_the_language():
     a = Automaton(["ab" * n for n in range(1, 9)] * 20)
     assert len([n for n in a.next if n]) and a.bits("abab") > a.bits("abba") and a.bits("ab" * 9) > a.bits("b" * 18)

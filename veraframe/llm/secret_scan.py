@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What may be a credential by its letters alone.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled credentials and other candidates that are learnt from, at most, for each kind, and their greatest length.
+#: Labelled credentials that are learnt from, at most, for each kind, and the greatest length of what is learnt from.
 MOST, LONGEST = 600, 128
 #: Confidence of the Hoeffding test for two states to differ, and bits by character for a format to be likely.
 ALPHA, LEAST_BITS = 0.05, 0.75
@@ -40,6 +39,10 @@ def symbols(value: str) -> str:
     return "".join("0" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for c in value)
 
 
+#: The symbols that candidates have, each with the pattern of its signs.
+SIGNS = {"0": "[0-9]", "h": "[a-f]", "l": "[g-z]", "U": "[A-Z]"} | {c: f"[{c}]" for c in "+/_.="} | {"-": "[-]"}
+
+
 class Automaton:
     """A probabilistic automaton inferred from a sample of strings by merging compatible prefix-tree states."""
 
@@ -128,11 +131,10 @@ class Automaton:
 class Formats:
     """An automaton for each kind of credential, against the frequencies of signs in other candidates."""
 
-    def __init__(self, credentials: dict[str, list[str]], others: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], others: dict[str, int]):
         self.automata = {k: Automaton([symbols(v) for v in vs]) for k, vs in sorted(credentials.items()) if vs}
-        n = Counter(c for v in others for c in [*symbols(v), "end"])
-        total = sum(n.values()) + 10
-        self.plain = {c: math.log2((k + 0.1) / total) for c, k in n.items()}
+        total = sum(others.values()) + 10
+        self.plain = {c: math.log2((k + 0.1) / total) for c, k in others.items() if k}
         self.rare = math.log2(0.1 / total)
 
     def score(self, value: str) -> float:
@@ -145,9 +147,9 @@ class Formats:
 def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, a digest of their spans and all spans, for each whole text.
 
-    The credentials that the base patterns find are labelled by their kind. At most MOST of each kind and MOST other
-    candidates, which ones by hash, of at most LONGEST characters, are what the automata are inferred from; then every
-    candidate of all texts that meets no base span is scored, whatever its length, and gives a ``format`` span if a
+    The credentials that the base patterns find are labelled by their kind. At most MOST of each kind, which ones by
+    hash, of at most LONGEST characters, are what the automata are inferred from; signs are counted over all distinct
+    other candidates of at most LONGEST characters, as longer ones would outweigh the rest. Then every candidate of all texts that meets no base span is scored, whatever its length, and gives a ``format`` span if a
     format is likelier than other text by ``least_bits`` a character.
 
     Null and empty texts have no spans. Null and repeated ids get a row each; extra columns are not read. In a table
@@ -176,13 +178,16 @@ def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str =
     found = scratch.save(rows.mapInArrow(search, f"id {kind}, base {span}, more {span}"), "found")
     spans = found.select(F.explode(F.concat("base", "more")).alias("s")).select("s.kind", "s.value").where(F.length("value") <= LONGEST).distinct()
     pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    # Small heads first: each task keeps MOST of a kind, then one task sees that many from each.
-    heads = spans.groupBy("kind", F.pmod(F.xxhash64("value"), F.lit(4096)).alias("h")).agg(F.min("value").alias("value"))
+    # Small heads first: each bucket gives its value of the least second hash, so that one task sees 4,096 of a kind.
+    bucket = F.pmod(F.xxhash64("value"), F.lit(4096)).alias("h")
+    heads = spans.where("kind <> 'format'").groupBy("kind", bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), "value").alias("by"), "value"))["value"].alias("value"))
     sample = heads.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= MOST).select("kind", "value").collect()
     by: dict[str, list[str]] = {}
     for r in sample:
         by.setdefault(r["kind"], []).append(r["value"])
-    formats = spark.sparkContext.broadcast(Formats({k: v for k, v in by.items() if k != "format"}, by.get("format", [])))
+    signs = [F.sum(F.regexp_count("value", F.lit(p))).alias(c) for c, p in SIGNS.items()]
+    others = spans.where("kind = 'format'").agg(*signs, F.count("*").alias("end")).first().asDict()
+    formats = spark.sparkContext.broadcast(Formats(by, {c: n or 0 for c, n in others.items()}))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
