@@ -13,6 +13,7 @@ from veraframe.errors import CodecError, Condition, InputError
 from veraframe.functions.numbers import from_ibm, to_ibm
 from veraframe.meta import SPECIAL, Dataset, Meta, set_meta
 from veraframe.sources import io, xpt
+from veraframe.sources.ndjson import write_ndjson
 from veraframe.sources.xpt import members_of, read_xpt, sas_stamp, write_xpt
 
 TYPES = {
@@ -52,6 +53,18 @@ def test_any_format_to_any_other(spark, tmp_path, first, second):
     assert rows_of(z) == rows_of(x) and z.meta.columns == x.meta.columns
 
 
+def test_parts_hold_tags_in_their_rows(spark, tmp_path):
+    x, path = torture(spark), f"{tmp_path}/p.ndjson"
+    write_ndjson(Dataset(x.df.repartition(3), x.meta), path, layout="parts")
+    assert rows_of(io.read_dataset(spark, path)) == rows_of(x)
+    wide = spark.range(4000).select(F.col("id").cast("int").alias("AESEQ"), F.lit(None).cast("double").alias("AVAL"), F.when(F.col("id") % 2 == 0, ".A").otherwise(".B").alias(f"{SPECIAL}AVAL"))
+    write_ndjson(Dataset(wide, x.meta.only(["AESEQ", "AVAL"])), path, layout="parts")
+    head = spark.read.text(f"{path}/head").first()[0]
+    assert '".A"' not in head and len(head) < 2000
+    back = io.read_dataset(spark, path).df
+    assert back.count() == 4000 and back.where((F.col(f"{SPECIAL}AVAL") == ".A") != (F.col("AESEQ") % 2 == 0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["e.json", "e.ndjson", "e.parquet"])
 def test_empty_and_all_missing(spark, tmp_path, name):
     for rows in ([], [(None,) * 12]):

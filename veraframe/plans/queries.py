@@ -458,11 +458,11 @@ def partial_read(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value, CASE event_id % 8 WHEN 0 THEN '.A' WHEN 4 THEN '._' END AS tag FROM events")
 def special_missing(spark: SparkSession, sf: str) -> DataFrame:
-    """Tags of missing values through a file that holds them by row number."""
+    """Tags of missing values through a folder of parts that holds them in their rows."""
     m = F.col("event_id") % 8
     d = _t(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"), F.when(m == 0, ".A").when(m == 4, "._").alias(f"{SPECIAL}value"))
     path = f"{_where(spark)}.ndjson"
-    write_ndjson(set_meta(d, meta_from_frame(d, "EV")), path)
+    write_ndjson(set_meta(d, meta_from_frame(d, "EV")), path, layout="parts")
     back = io.read_dataset(spark, path).df
     return back.select(F.col("event_id").cast("long").alias("event_id"), "value", F.col(f"{SPECIAL}value").alias("tag"))
 

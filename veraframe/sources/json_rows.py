@@ -43,8 +43,8 @@ def literal(c: Column, kind: T.DataType, column: dict) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
-def row_text(x: Dataset, on_invalid: str = "error") -> DataFrame:
-    """One text column: each row as a JSON array. Infinite numbers and text that isn't UTF-8 stop it first, in one pass."""
+def row_text(x: Dataset, on_invalid: str = "error", tagged: list[str] | None = None) -> DataFrame:
+    """One text column: each row as a JSON array, with the tags of columns ``tagged`` behind its cells. Infinite numbers and text that isn't UTF-8 stop it first, in one pass."""
     df, meta = x.df, x.meta
     tests = []
     for n in x.names:
@@ -64,19 +64,29 @@ def row_text(x: Dataset, on_invalid: str = "error") -> DataFrame:
         if isinstance(kind, T.StringType):
             c = nfc(c) if on_invalid == "error" else to_charset(F.make_valid_utf8(c), "UTF-8", on_invalid)
         cells.append(literal(c, kind, meta.columns[n]))
+    cells += [F.coalesce(string_text(tag_of(n)), F.lit("null")) for n in tagged or []]
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("value"))
 
 
+def tagged_columns(x: Dataset) -> list[str]:
+    return [n for n in x.names if f"{SPECIAL}{n}" in x.df.columns]
+
+
+def tag_of(n: str) -> Column:
+    """The tag of a column's special missing value, null where there is none."""
+    return F.when(F.col(f"`{n}`").isNull() & F.col(f"`{SPECIAL}{n}`").isin(list(TAGS)), F.col(f"`{SPECIAL}{n}`"))
+
+
 def special_rows(x: Dataset) -> dict[str, dict[str, list]]:
     """Special missing values of a dataset by column: row numbers from 1, in the order rows are written, and tags.
 
-    Row numbers exist in files only; here they are counted over partitions in order. Only tagged cells are collected,
-    which a file holds whole in its head.
+    Row numbers exist in files only; here they are counted over partitions in order. All tagged cells are collected,
+    which a file holds whole in its head: for exchange files; in a folder of parts, tags stand in their rows.
     """
-    tagged = [n for n in x.names if f"{SPECIAL}{n}" in x.df.columns]
+    tagged = tagged_columns(x)
     if not tagged:
         return {}
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.when(F.col(f"`{n}`").isNull() & F.col(f"`{SPECIAL}{n}`").isin(list(TAGS)), F.col(f"`{SPECIAL}{n}`")).alias("tag")) for n in tagged])
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), tag_of(n).alias("tag")) for n in tagged])
     placed = x.df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), cells.alias("cells"))
     sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row for each task
     before, total = {}, 0
@@ -100,9 +110,12 @@ def with_special(df: DataFrame, special: dict[str, dict[str, list]], row: str) -
     return df
 
 
-def cells(rows: Column, meta: Meta, where: str) -> list[Column]:
-    """Columns from an array of JSON texts by the metadata; a row of another length is an error when it is read."""
-    n = len(meta.columns)
+def cells(rows: Column, meta: Meta, where: str, tagged: list[str] | None = None) -> list[Column]:
+    """Columns from an array of JSON texts by the metadata; a row of another length is an error when it is read.
+
+    The tags of columns ``tagged`` stand behind the cells.
+    """
+    n = len(meta.columns) + len(tagged or [])
     checked = F.when(F.size(rows) == n, rows).otherwise(F.raise_error(F.concat(F.lit(f"{where}: a row has "), F.size(rows).cast("string"), F.lit(f" cells of {n}"))))
     out = []
     for i, (name, c) in enumerate(meta.columns.items()):
@@ -114,6 +127,8 @@ def cells(rows: Column, meta: Meta, where: str) -> list[Column]:
         elif want in TEMPORAL and not is_iso_text(c):
             v = F.coalesce(realized(v.try_cast("double"), want, text=False), realized(v, want, text=True))
         out.append(v.alias(name, metadata=c))
+    for i, name in enumerate(tagged or [], len(meta.columns)):
+        out.append(F.get(checked, F.lit(i)).alias(f"{SPECIAL}{name}"))
     return out
 
 

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from ..errors import CodecError
 from ..meta import Dataset, Meta, as_dataset, parse, payload, stamp
 from .files import check_path, write_one_file
-from .json_rows import cells, narrowed, row_text, special_rows, with_special
+from .json_rows import cells, narrowed, row_text, special_rows, tagged_columns, with_special
 
 
 def write_ndjson(x: Dataset | DataFrame, path: str, on_invalid: str = "error", created: str | None = None, strict: bool = False, layout: str = "file") -> Dataset:
     """Write a dataset; ``layout`` ``parts`` makes a folder of text files that is written and read in parallel.
 
-    ``strict`` leaves out this engine's own block, and with it what the exchange standard has no place for.
+    ``strict`` leaves out this engine's own block, and with it what the exchange standard has no place for. Tags of
+    special missing values stand in the head of a file by row number; in parts, behind the cells of their rows.
     """
     x = as_dataset(x)
-    head = payload(x.meta, special_rows(x), extensions=not strict) | ({"datasetJSONCreationDateTime": created} if created else {})
+    tagged = tagged_columns(x) if layout == "parts" and not strict else []
+    special = {"inRows": tagged} if tagged else {} if layout == "parts" or strict else special_rows(x)
+    head = payload(x.meta, special, extensions=not strict) | ({"datasetJSONCreationDateTime": created} if created else {})
     line = json.dumps(head, ensure_ascii=False)
-    lines = row_text(x, on_invalid)
+    lines = row_text(x, on_invalid, tagged)
     if layout == "parts":
         spark = x.df.sparkSession
         whole = spark.createDataFrame([(line,)], "value string").coalesce(1)
@@ -42,12 +45,12 @@ def head_of(spark: SparkSession, path: str) -> tuple[Meta, dict]:
         raise CodecError(f"{path}: the first line is no metadata: {e}", path=path) from e
 
 
-def rows_schema(lines: DataFrame, meta: Meta, where: str) -> DataFrame:
+def rows_schema(lines: DataFrame, meta: Meta, where: str, tagged: list[str] | None = None) -> DataFrame:
     """Rows decoded from lines; blank lines are skipped, lines that are no array are an error when they are read."""
     text = F.btrim("value", F.lit(" \t\r\n﻿"))
     kept = lines.where((text != "") & ~text.startswith("{"))
     array = F.from_json(F.when(text.startswith("["), text).otherwise(F.raise_error(F.concat(F.lit(f"{where}: no row: "), F.substring(text, 1, 40)))), "array<string>")
-    return kept.select(*[c for c in kept.columns if c != "value"], *cells(array, meta, where))
+    return kept.select(*[c for c in kept.columns if c != "value"], *cells(array, meta, where, tagged))
 
 
 def read_ndjson(spark: SparkSession, path: str, col_select: list[str] | None = None, n_max: int | None = None) -> Dataset:
@@ -56,7 +59,9 @@ def read_ndjson(spark: SparkSession, path: str, col_select: list[str] | None = N
     folder = _is_folder(spark, path)
     meta, special = head_of(spark, f"{path}/head" if folder else path)
     lines = spark.read.text(f"{path}/rows" if folder else path)
-    if special:  # tags are by row number, which only the order of lines gives
+    if isinstance(special.get("inRows"), list):
+        df = rows_schema(lines, meta, path, special["inRows"])
+    elif special:  # tags are by row number, which only the order of lines gives
         text = F.btrim("value", F.lit(" \t\r\n﻿"))
         kept = lines.where((text != "") & ~text.startswith("{"))
         lines = kept.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1)).toDF("value string, _row long")

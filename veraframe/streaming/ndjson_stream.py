@@ -14,10 +14,13 @@ from ..sources.ndjson import rows_schema
 from ..spec import Spec
 
 
-def stream_ndjson(spark: SparkSession, folder: str, meta: Meta, files_each: int | None = None) -> DataFrame:
-    """Rows of NDJSON files as they arrive in a folder, decoded by known metadata; metadata lines are skipped."""
+def stream_ndjson(spark: SparkSession, folder: str, meta: Meta, files_each: int | None = None, tagged: list[str] | None = None) -> DataFrame:
+    """Rows of NDJSON files as they arrive in a folder, decoded by known metadata; metadata lines are skipped.
+
+    ``tagged`` names the columns whose tags stand in the rows, in the order of the metadata.
+    """
     r = spark.readStream
-    return rows_schema((r.option("maxFilesPerTrigger", files_each) if files_each else r).text(folder), meta, folder)
+    return rows_schema((r.option("maxFilesPerTrigger", files_each) if files_each else r).text(folder), meta, folder, tagged)
 
 
 def check_stream(rows: DataFrame, spec: Spec, dataset: str, findings_path: str, checkpoint: str, checks: Checks | None = None, then: Callable[[DataFrame, list[Finding]], None] | None = None) -> StreamingQuery:
