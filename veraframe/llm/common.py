@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves if driver and executors are one process; on a cluster, where
+    executors would each write to a disk of their own, it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or f"file://{tempfile.mkdtemp(prefix='veraframe-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='veraframe-')}"
+        folder = _local[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -36,7 +47,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a reread and not a recomputation.
 
-    A result that is still lazy reads them, so they stay until ``drop`` or the end of the Python process.
+    Operators drop a table when its last reader is written. Those that a result which is still lazy reads stay until
+    ``drop`` or the end of the Python process.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -49,14 +61,33 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def drop(self, name: str = "") -> None:
-        delete_path(self.spark, f"{self.path}/{name}".rstrip("/"))
+    def drop(self, *names: str) -> None:
+        for name in names or ("",):
+            delete_path(self.spark, f"{self.path}/{name}".rstrip("/"))
 
     def _at_exit(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended
             self.drop()
 
 
+def by_place(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by their place, and the names that ``columns`` have there.
+
+    Thus columns with dots in their names, or whose names differ in case alone, do no harm. Of columns of the very
+    same name the first is meant.
+    """
+    have, names = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in have]
+    return docs.toDF(*names), [names[have.index(c) if c in have else lower.index(c.lower())] for c in columns]
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Refuse ids that aren't whole numbers."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be whole numbers, not of type {kind}")
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 ROWS, FINE = 256, 1024
 
 
-def running_offsets(df: DataFrame, group: list[str], order: list[str], value: str, n_rows: int, out: str = "start") -> DataFrame:
+def running_offsets(df: DataFrame, group: list[str], order: list[str], value: str, n_rows: int, out: str = "start", spread: list | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come before.
 
-    Rows are ordered by (hash bucket, ``order``), which is the same in each run. Buckets grow in number with the
-    table, so the windows see about ROWS rows, FINE buckets and, for each group, one row per ROWS * FINE rows.
-    ``df`` should be a written table as it is read twice; rows alike in group and order are interchangeable.
+    Rows are ordered by (hash bucket of ``spread``, ``order``), which is the same in each run; ``spread`` is ``order``
+    unless given. Buckets grow in number with the table, so the windows see about ROWS rows, FINE buckets and, for
+    each group, one row per ROWS * FINE rows. ``df`` should be a written table as it is read twice; rows alike in
+    group and order are interchangeable.
     """
     buckets = max(1, n_rows // ROWS)
-    rows = df.withColumn("_fine", F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn("_coarse", F.floor(F.col("_fine") / FINE))
+    rows = df.withColumn("_fine", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets))).withColumn("_coarse", F.floor(F.col("_fine") / FINE))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     fine = rows.groupBy(*group, "_coarse", "_fine").agg(F.sum(value).alias("_total"))
     coarse = fine.groupBy(*group, "_coarse").agg(F.sum("_total").alias("_sum"))
