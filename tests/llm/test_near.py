@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from veraframe.llm.embedding_dedup import ProductCode, near_vectors, op3_embedding_dedup
-from veraframe.llm.minhash import near_duplicates, op5_minhash
+from veraframe.llm.minhash import COORDINATES, LEAST_MATCHES, PREFIX, TALLY_BITS, _tally, coordinate_values, near_duplicates, op5_minhash, prefix
 from veraframe.llm.graph import components
 from veraframe.llm.common import Scratch
 
@@ -51,19 +51,42 @@ def test_chains_of_near_copies(spark):
         assert got == want
 
 
+def test_prefixes_of_agreeing_signatures_meet():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 50, (300, COORDINATES)).astype(np.uint32)
+    y = x.copy()
+    for row in y:
+        at = rng.permutation(COORDINATES)[: COORDINATES - LEAST_MATCHES]
+        row[at] = rng.integers(50, 90, len(at))
+    tally = np.bincount(_tally(coordinate_values(np.concatenate([x, y]))).ravel(), minlength=1 << TALLY_BITS)
+    for a, b in zip(prefix(x, tally)[1], prefix(y, tally)[1], strict=True):
+        assert len(a) == PREFIX and set(a.tolist()) & set(b.tolist())
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id is None, r.component_id or 0) for r in near_duplicates(docs, words=2).collect())
-    assert len(got) == docs.count()
+    got = near_duplicates(docs, words=2).collect()
+    assert len(got) == docs.count() and len({r.row for r in got}) == len(got)
     by = {}
-    for none, d, n, _, c in got:
-        if not none:
-            by.setdefault(d, []).append((n, c))
-    assert by[2] == by[3] == by[6][:0] or (by[2] == [(0, 2)] and by[3] == [(0, 3)] and by[6] == [(0, 6)])
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
+    assert by[2] == [(0, 2)] and by[3] == [(0, 3)] and by[6] == [(0, 6)]
     assert by[8][0][1] == 1 and by[5][0][1] == 4 and by[10][0][1] == 9
     assert near_duplicates(empty_documents(spark)).count() == 0
     with pytest.raises(ValueError):
         near_duplicates(docs, num=70)
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, repeated ids and null ids: the first row of a group is one of the smallest id."""
+    t, u = (" ".join(f"{k}{i}" for i in range(40)) for k in "tu")
+    data = [(1, t), (1, t), (3, t + " end"), (3, u), (None, u + " end"), (None, u), (None, "a b"), (None, "a b"), (5, ""), (5, "")]
+    got = near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, TEXT int, `a.b` string")).collect()
+    first = [r for r in got if r.row == r.first_row]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in first) == [(False, 1), (False, 3), (False, 5), (False, 5), (True, 0)]
+    assert {r.component_id for r in got} == {1, 3, 5, None}
 
 
 def brute_vectors(data, least=0.95):

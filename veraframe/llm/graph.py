@@ -29,6 +29,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         low = scratch.save(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-small{i}")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         edges = scratch.save(small.union(low.select("a", F.col("low").alias("b"))).distinct(), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-low{i}", f"{name}-large{i}", f"{name}-small{i}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == told:
             break
