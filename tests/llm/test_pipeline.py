@@ -2,7 +2,7 @@ import corpus_pipeline
 from veraframe.llm.quality_classifier import op6_quality_classifier
 
 from .helpers import SMALL, WORD, empty_documents, odd_documents, rows
-from .test_lines import minimal
+from .test_lines import brute
 from .test_near import linked
 
 
@@ -14,12 +14,13 @@ def test_stages_against_brute_force(spark):
     assert kept.columns == docs.columns and rejected
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - rejected
     got = lines(spark, kept, SMALL)
-    before = [(r.doc_id, r.text) for r in kept.collect()]
-    want = {d: t for d, t in minimal(before, 10).items() if WORD.search(t) or not WORD.search(dict(before)[d])}
+    before = sorted((r.doc_id, r.text) for r in kept.collect())
+    want = {d: t for d, t in brute(before, 1).items() if WORD.search(t) or not WORD.search(dict(before)[d])}
     assert {r.doc_id: r.text for r in got.collect()} == want
     once = near(spark, docs, SMALL)
     _, component = linked([(r.doc_id, r.text) for r in docs.collect()], 5)
     assert {r.doc_id for r in once.collect()} == set(component.values())
+    assert once.count() == len(set(component.values()))
     assert mix(spark, once, SMALL).columns == docs.columns
     assert sum(p.length for p in pack(spark, once, SMALL).collect()) > once.count()
 

@@ -54,16 +54,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         atexit.register(self._at_exit)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
         for name in names or ("",):
             delete_path(self.spark, f"{self.path}/{name}".rstrip("/"))
+        self.names = [n for n in self.names if names and n not in names]
 
     def _at_exit(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended

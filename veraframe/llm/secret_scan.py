@@ -8,18 +8,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, by_place, table, text_of
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What may be a credential by its letters alone.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled credentials that are learnt from, at most, for each kind, and the greatest length of what is learnt from.
+LEAST = 8
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Values that are learnt from, at most, for each kind, and the greatest length of what is learnt from.
 MOST, LONGEST = 600, 128
 #: Confidence of the Hoeffding test for two states to differ, and bits by character for a format to be likely.
 ALPHA, LEAST_BITS = 0.05, 0.75
@@ -34,179 +36,256 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def symbols(value: str) -> str:
-    """Letters by class: digit 0, a to f as h, other lower case l, upper case U, any other sign itself."""
-    return "".join("0" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for c in value)
+def free_parts(text: str, base: list[tuple[str, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidates: what base spans leave of runs of credential signs, of LEAST signs or more."""
+    taken = sorted((s, e) for _, s, e, _ in base)
+    k = 0
+    for m in _CANDIDATE.finditer(text):
+        at, end = m.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        i = k
+        while i < len(taken) and taken[i][0] < end:
+            if taken[i][0] - at >= LEAST:
+                yield at, taken[i][0]
+            at = max(at, taken[i][1])
+            i += 1
+        if end - at >= LEAST:
+            yield at, end
+
+
+#: The symbols of candidates: digit 0, a to f as h, other lower case l, upper case U, any other sign itself.
+SIGNS = "0hlU+/_.=-"
+_CLASSES = str.maketrans({c: "0" for c in "0123456789"} | {c: "h" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
-#: The symbols that candidates have, each with the pattern of its signs.
-SIGNS = {"0": "[0-9]", "h": "[a-f]", "l": "[g-z]", "U": "[A-Z]"} | {c: f"[{c}]" for c in "+/_.="} | {"-": "[-]"}
+def symbols(value: str) -> str:
+    return value.translate(_CLASSES)
 
 
 class Automaton:
-    """A probabilistic automaton inferred from a sample of strings by merging compatible prefix-tree states."""
+    """A probabilistic automaton inferred from a sample of strings by merging compatible prefix-tree states.
+
+    States of one depth are merged first: of many strings of one length hardly two share a long prefix, so only
+    pooled do deep states tell how strings end. Then states of different depths are, which makes loops. Each state
+    knows how often strings end in it and how often they leave it by each symbol; a merge adds these counts up and
+    redirects transitions with the counts they have, so that they always make a distribution.
+    """
+
+    #: Share of a string that each outcome at a state has beside those that the sample has.
+    SPARE = 0.001
 
     def __init__(self, sample: list[str], alpha: float = ALPHA):
-        self.count, self.end, self.next = [0], [0], [{}]
+        self.end: list[int] = [0]
+        self.taken: list[dict[str, int]] = [{}]
+        self._next: list[dict[str, int]] = [{}]
+        self._into = [0]
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        layers: list[list[int]] = [[0]]
         for s in sorted(sample):
             q = 0
-            self.count[0] += 1
-            for c in s:
-                if c not in self.next[q]:
-                    self.next[q][c] = len(self.count)
-                    self.count.append(0)
+            for depth, c in enumerate(s, 1):
+                if c not in self._next[q]:
+                    self._next[q][c] = len(self.end)
                     self.end.append(0)
-                    self.next.append({})
-                q = self.next[q][c]
-                self.count[q] += 1
+                    self.taken.append({})
+                    self._next.append({})
+                    self._into.append(len(self._into))
+                    if depth == len(layers):
+                        layers.append([])
+                    layers[depth].append(self._next[q][c])
+                self.taken[q][c] = self.taken[q].get(c, 0) + 1
+                q = self._next[q][c]
             self.end[q] += 1
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [0], [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            p, c = blue.pop(0)
-            q = self.next[p][c]
-            if q in red:
+        for layer in layers:
+            self._merge_all(layer)
+        self._merge_all([q for layer in layers for q in layer])
+
+    def find(self, q: int) -> int:
+        while self._into[q] != q:
+            self._into[q] = q = self._into[self._into[q]]
+        return q
+
+    def states(self) -> list[int]:
+        return [q for q in range(len(self.end)) if self._into[q] == q]
+
+    def count(self, q: int) -> int:
+        return self.end[q] + sum(self.taken[q].values())
+
+    def step(self, q: int, c: str) -> int | None:
+        t = self._next[q].get(c)
+        return None if t is None else self.find(t)
+
+    def _merge_all(self, states: list[int]) -> None:
+        kept: list[int] = []
+        for q in states:
+            if self._into[q] != q:
                 continue
-            for r in red:
-                if self._alike(r, q):
-                    self.next[p][c] = r
+            for r in kept:
+                if self._into[r] == r and self._alike(r, q):
                     self._fold(r, q)
                     break
             else:
-                red.append(q)
-            blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in red]
-
-    def _near(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return not (n1 and n2) or abs(f1 / n1 - f2 / n2) < self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+                kept.append(q)
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether ends and transitions of both states, and of those that they lead to, are as frequent."""
-        todo = [(a, b, 0)]
+        todo, seen = [(a, b)], {(a, b)}
         while todo:
-            x, y, depth = todo.pop()
-            if not self._near(self.end[x], self.count[x], self.end[y], self.count[y]):
+            x, y = todo.pop()
+            n, m = self.count(x), self.count(y)
+            wide = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if x == y or wide >= 1:  # what follows is rarer still
+                continue
+            if abs(self.end[x] / n - self.end[y] / m) >= wide:
                 return False
-            for c in self.next[x].keys() | self.next[y].keys():
-                p, q = self.next[x].get(c), self.next[y].get(c)
-                if not self._near(self._weight(x, c), self.count[x], self._weight(y, c), self.count[y]):
+            for c in self.taken[x].keys() | self.taken[y].keys():
+                if abs(self.taken[x].get(c, 0) / n - self.taken[y].get(c, 0) / m) >= wide:
                     return False
-                if p is not None and q is not None and depth < LONGEST:
-                    todo.append((p, q, depth + 1))
+                p, q = self.step(x, c), self.step(y, c)
+                if p is not None and q is not None and (p, q) not in seen:
+                    seen.add((p, q))
+                    todo.append((p, q))
         return True
 
-    def _weight(self, q: int, c: str) -> int:
-        """How often the sample takes a transition; the used count is kept beside the target after a merge."""
-        t = self.next[q].get(c)
-        return 0 if t is None else self.taken.get((q, c), self.count[t]) if hasattr(self, "taken") else self.count[t]
-
     def _fold(self, a: int, b: int) -> None:
-        if not hasattr(self, "taken"):
-            self.taken: dict[tuple[int, str], int] = {}
         todo = [(a, b)]
         while todo:
-            x, y = todo.pop()
-            self.count[x] += self.count[y]
+            x, y = (self.find(q) for q in todo.pop())
+            if x == y:
+                continue
+            self._into[y] = x
             self.end[x] += self.end[y]
-            for c, q in self.next[y].items():
-                if c in self.next[x]:
-                    self.taken[x, c] = self._weight(x, c) + self._weight(y, c)
-                    if self.next[x][c] != q:
-                        todo.append((self.next[x][c], q))
+            for c, n in self.taken[y].items():
+                self.taken[x][c] = self.taken[x].get(c, 0) + n
+                if c in self._next[x]:
+                    todo.append((self._next[x][c], self._next[y][c]))
                 else:
-                    self.taken[x, c] = self._weight(y, c)
-                    self.next[x][c] = q
+                    self._next[x][c] = self._next[y][c]
 
-    def bits(self, s: str) -> float:
-        """Log-likelihood to base 2, with a small chance for what the sample lacks."""
-        q, total = 0, 0.0
+    def accepts(self, s: str) -> bool:
+        q: int | None = 0
         for c in s:
-            n = self.count[q] if q is not None else 0
-            w = self._weight(q, c) if q is not None else 0
-            total += math.log2((w + 0.01) / (n + 1))
-            q = self.next[q].get(c) if q is not None else None
-        n, e = (self.count[q], self.end[q]) if q is not None else (0, 0)
-        return total + math.log2((e + 0.01) / (n + 1))
+            q = self.step(q, c)
+            if q is None:
+                return False
+        return self.end[q] > 0
+
+    def bits(self, s: str, plain: dict[str, float] | None = None) -> float:
+        """Log-likelihood to base 2. Where the sample never went, signs are as ``plain`` says or all as likely."""
+        q: int | None = 0
+        outcomes, total = len(SIGNS) + 1, 0.0
+        for c in [*s, None]:
+            if q is None:
+                total += plain[c or "end"] if plain else -math.log2(outcomes)
+                continue
+            seen = self.end[q] if c is None else self.taken[q].get(c, 0)
+            total += math.log2((seen + self.SPARE) / (self.count(q) + self.SPARE * outcomes))
+            q = None if c is None else self.step(q, c)
+        return total
 
 
 class Formats:
-    """An automaton for each kind of credential, against the frequencies of signs in other candidates."""
+    """An automaton for each kind of credential, against one of other candidates and the frequencies of their signs."""
 
-    def __init__(self, credentials: dict[str, list[str]], others: dict[str, int]):
-        self.automata = {k: Automaton([symbols(v) for v in vs]) for k, vs in sorted(credentials.items()) if vs}
-        total = sum(others.values()) + 10
-        self.plain = {c: math.log2((k + 0.1) / total) for c, k in others.items() if k}
-        self.rare = math.log2(0.1 / total)
+    def __init__(self, credentials: dict[str, list[str]], others: list[str], signs: dict[str, int]):
+        self.automata = [Automaton([symbols(v) for v in vs]) for _, vs in sorted(credentials.items()) if vs]
+        self.other = Automaton([symbols(v) for v in others]) if others else None
+        total = sum(signs.values()) + len(SIGNS) + 1
+        self.plain = {c: math.log2((signs.get(c, 0) + 1) / total) for c in [*SIGNS, "end"]}
 
     def score(self, value: str) -> float:
-        """Bits by character by which the likeliest format beats other candidates."""
+        """Bits by character by which the likeliest format that has the value in its language beats other candidates."""
         s = symbols(value)
-        other = sum(self.plain.get(c, self.rare) for c in [*s, "end"])
-        return max(((a.bits(s) - other) / (len(s) + 1) for a in self.automata.values()), default=-math.inf)
+        other = sum(self.plain[c] for c in [*s, "end"])
+        if self.other is not None:
+            other = max(other, self.other.bits(s, self.plain))
+        return max(((a.bits(s, self.plain) - other) / (len(s) + 1) for a in self.automata if a.accepts(s)), default=-math.inf)
 
 
 def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, a digest of their spans and all spans, for each whole text.
 
-    The credentials that the base patterns find are labelled by their kind. At most MOST of each kind, which ones by
-    hash, of at most LONGEST characters, are what the automata are inferred from; signs are counted over all distinct
-    other candidates of at most LONGEST characters, as longer ones would outweigh the rest. Then every candidate of all texts that meets no base span is scored, whatever its length, and gives a ``format`` span if a
-    format is likelier than other text by ``least_bits`` a character.
+    The credentials that the base patterns find are labelled by their kind, all other candidates as such; candidates
+    are runs of LEAST credential signs or more, or what base spans leave of them. At most MOST distinct values of
+    each label, which ones by hash, of at most LONGEST characters, are what automata are inferred from; signs are
+    counted over all other candidates of at most that length, as longer ones would outweigh the rest. Then every
+    candidate of all texts is scored, whatever its length, and gives a ``format`` span if an automaton
+    accepts it and makes it likelier than other text does, by ``least_bits`` a character. The first pass writes nothing but the learnt values.
 
     Null and empty texts have no spans. Null and repeated ids get a row each; extra columns are not read. In a table
     without credentials no format is learnt and nothing added.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d, (i, t) = by_place(docs, id_col, text_col)
+    rows = d.select(F.col(i).alias("id"), text_of(t).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    span = "array<struct<kind:string,start:int,end:int,value:string>>"
-    fields = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each label the values of the least hashes, and how often each sign stands in other candidates."""
+        least: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, "other")}
+        bar = dict.fromkeys(least, 1 << 64)
+        signs = dict.fromkeys([*SIGNS, "end"], 0)
+
+        def trim(label: str) -> None:
+            best = sorted((h, v) for v, h in least[label].items())[:MOST]
+            least[label] = {v: h for h, v in best}
+            bar[label] = best[-1][0] if len(best) == MOST else 1 << 64
+
         for b in batches:
-            base, more = [], []
-            for t in b.column(1).to_pylist():
-                found = base_spans(t)
-                free, i = [], 0
-                for m in _CANDIDATE.finditer(t):
-                    if not any(s < m.end() and m.start() < e for _, s, e, _ in found):
-                        free.append(("format", *m.span(), m[0]))
-                base.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in found])
-                more.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in free])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, fields), pa.array(more, fields)], ["id", "base", "more"])
-
-    found = scratch.save(rows.mapInArrow(search, f"id {kind}, base {span}, more {span}"), "found")
-    spans = found.select(F.explode(F.concat("base", "more")).alias("s")).select("s.kind", "s.value").where(F.length("value") <= LONGEST).distinct()
-    pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    # Small heads first: each bucket gives its value of the least second hash, so that one task sees 4,096 of a kind.
-    bucket = F.pmod(F.xxhash64("value"), F.lit(4096)).alias("h")
-    heads = spans.where("kind <> 'format'").groupBy("kind", bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), "value").alias("by"), "value"))["value"].alias("value"))
-    sample = heads.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= MOST).select("kind", "value").collect()
+            for text in b.column(0).to_pylist():
+                base = base_spans(text)
+                parts = [text[s:e] for s, e in free_parts(text, base) if e - s <= LONGEST]
+                every = symbols("".join(parts))
+                for c in SIGNS:
+                    signs[c] += every.count(c)
+                signs["end"] += len(parts)
+                for label, v in [*((k, v) for k, _, _, v in base if len(v) <= LONGEST), *(("other", p) for p in parts)]:
+                    h = xxhash.xxh3_64_intdigest(v)
+                    if h < bar[label]:
+                        least[label][v] = h
+                        if len(least[label]) > 4 * MOST:
+                            trim(label)
+        for label in least:
+            trim(label)
+        found = [(k, v, h - (1 << 63)) for k, vs in least.items() for v, h in vs.items()] + [("sign", c, n) for c, n in signs.items() if n]
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["kind", "value", "n"])
+
+    told = Scratch(spark, "secrets").save(rows.select("text").mapInArrow(sample, "kind string, value string, n long"), "told")
+    # Small heads first: each bucket gives its value of the least hash, so that one task sees 4,096 of a kind.
+    bucket = F.pmod(F.xxhash64("value"), F.lit(4096)).alias("bucket")
+    heads = told.where("kind <> 'sign'").groupBy("kind", bucket).agg(F.min(F.struct("n", "value")).alias("m"))
+    pick = Window.partitionBy("kind").orderBy("m.n", "m.value")
     by: dict[str, list[str]] = {}
-    for r in sample:
+    for r in heads.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= MOST).select("kind", "m.value").collect():
         by.setdefault(r["kind"], []).append(r["value"])
-    signs = [F.sum(F.regexp_count("value", F.lit(p))).alias(c) for c, p in SIGNS.items()]
-    others = spans.where("kind = 'format'").agg(*signs, F.count("*").alias("end")).first().asDict()
-    formats = spark.sparkContext.broadcast(Formats(by, {c: n or 0 for c, n in others.items()}))
+    signs = {r["value"]: r["n"] for r in told.where("kind = 'sign'").groupBy("value").agg(F.sum("n").alias("n")).collect()}
+    formats = spark.sparkContext.broadcast(Formats(by, by.pop("other", []), signs))  # of bounded size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for base, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text in b.column(1).to_pylist():
                 if len(known) > 200_000:
                     known.clear()
-                for s in more:
-                    if s["value"] not in known:
-                        known[s["value"]] = formats.value.score(s["value"])
-                text = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in base)
-                every = sorted([*base, *(s for s in more if known[s["value"]] >= least_bits)], key=lambda s: (s["start"], [*KINDS, "format"].index(s["kind"])))
-                values = [*(sum(s["kind"] == k for s in base) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in every)]
-                for column, v in zip(out, values, strict=True):
+                base, more = base_spans(text), []
+                for s, e in free_parts(text, base):
+                    v = text[s:e]
+                    if (x := known.get(v)) is None:
+                        x = formats.value.score(v)
+                        if e - s <= LONGEST:
+                            known[v] = x
+                    if x >= least_bits:
+                        more.append(("format", s, e, ""))
+                every = sorted([*base, *more], key=lambda s: (s[1], [*KINDS, "format"].index(s[0])))
+                told = [",".join(f"{k}:{s}:{e}" for k, s, e, _ in spans) for spans in (base, every)]
+                for column, v in zip(out, [*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(told[0].encode()).hexdigest(), told[1]], strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.string()) for x in out[3:])], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    done = found.mapInArrow(judge, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    done = rows.mapInArrow(judge, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return done.withColumnRenamed("id", id_col)
 
 
