@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from veraframe.llm.embedding_dedup import ProductCode, near_vectors, op3_embedding_dedup
+from veraframe.llm.embedding_dedup import ProductCode, near_vectors, op3_embedding_dedup, tables_for
 from veraframe.llm.minhash import COORDINATES, LEAST_MATCHES, PREFIX, TALLY_BITS, _tally, coordinate_values, near_duplicates, op5_minhash, prefix
 from veraframe.llm.graph import components
 from veraframe.llm.common import Scratch
@@ -138,11 +138,19 @@ def test_decoding_lists_all_filters():
         code, rng = ProductCode(16, parts, 6, 2.0), np.random.default_rng(2)
         v = rng.standard_normal((20, 16))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        for x, got in zip(v, code.decode(v), strict=True):
+        row, found = code.decode(v)
+        for k, x in enumerate(v):
             r, sums = code.rotation @ x, np.zeros(1)
             for t, cut in zip(code.tables, code.cuts, strict=True):
                 sums = (sums[:, None] + (t @ r[cut])[None, :]).ravel()
-            assert got.tolist() == np.flatnonzero(sums >= code.height).tolist()
+            assert found[row == k].tolist() == np.flatnonzero(sums >= code.height).tolist()
+
+
+def test_codes_are_as_many_as_recall_takes():
+    assert 5 < tables_for(64, 1024, 3, 0.95) < tables_for(64, 1024, 3, 0.8)
+    assert tables_for(64, 4096, 3, 0.95) >= tables_for(64, 64, 3, 0.95)
+    with pytest.raises(ValueError):
+        tables_for(64, 1024, 3, 0.3)
 
 
 def test_components_of_a_long_chain(spark):

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, by_place, table, whole_ids
 from .graph import blocked, components, whole_groups
 
-#: Independent codes, parts of each, directions to a part (CODES ** PARTS filters to a code), and filters of one code
-#: that a vector exceeds on average. A single code leaves some vectors almost without filters, as their weight is
-#: spread evenly over its parts; sixteen rotations even that out.
-TABLES, PARTS, CODES, FILTERS = 16, 2, 1024, 3
+#: Parts of a code, directions to a part at least (CODES ** PARTS filters to a code), and filters of one code that a
+#: vector exceeds on average. A single code leaves some vectors almost without filters, as their weight is spread
+#: evenly over its parts; independent rotations even that out.
+PARTS, CODES, FILTERS = 2, 1024, 3
+#: Share of the pairs at the very threshold that must meet in a filter, and codes at most that this may take.
+RECALL, MOST_TABLES = 0.985, 200
 #: Members of a filter that one group compares.
 BLOCK = 512
 
@@ -36,14 +38,14 @@ class ProductCode:
 
     def _calibrated(self, sample: np.ndarray, filters: float) -> float:
         """The height that random vectors exceed ``filters`` times on average."""
-        halves = self._halves(sample / np.linalg.norm(sample, axis=1, keepdims=True))
+        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         low, high = 0.0, 1.0
         for _ in range(30):
             self.height = (low + high) / 2
-            n, most = 0, 4 * filters * len(sample)
-            for a, b in zip(*halves, strict=True):
-                n += len(self._exceeding(a, b))
-                if n > most:
+            n = 0
+            for lo in range(0, len(sample), 32):  # as soon as there are too many, the height is too low
+                n += len(self.decode(sample[lo : lo + 32], most=40 * filters * 32)[0])
+                if n > filters * len(sample):
                     break
             low, high = (self.height, high) if n > filters * len(sample) else (low, self.height)
         return self.height
@@ -58,14 +60,30 @@ class ProductCode:
             sums.append(s)
         return sums[0], sums[1]
 
-    def _exceeding(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        i, j = np.flatnonzero(a >= self.height - b.max()), np.flatnonzero(b >= self.height - a.max())
-        x, y = np.nonzero(a[i][:, None] + b[j][None, :] >= self.height)
-        return np.sort(i[x].astype(np.int64) * len(b) + j[y])
+    def decode(self, vectors: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) in order: for each unit vector all filters whose direction has an inner product with it of at least the height.
 
-    def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector all filters whose direction has an inner product with it of at least the height."""
-        return [self._exceeding(a, b) for a, b in zip(*self._halves(vectors), strict=True)]
+        A pair of half codes can reach the height only if each half does with the other's best, which leaves few to
+        be paired. With ``most`` the first rows may be left out of a result that is larger.
+        """
+        a, b = self._halves(vectors)
+        i, x = np.nonzero(a >= self.height - b.max(axis=1, keepdims=True))
+        j, y = np.nonzero(b >= self.height - a.max(axis=1, keepdims=True))
+        each = np.bincount(j, minlength=len(vectors))
+        if len(i) and each[i].sum() > 1000 * most:
+            return np.zeros(int(most) + 1, np.int64), np.zeros(int(most) + 1, np.int64)
+        begin = np.cumsum(each) - each
+        n = each[i]  # partners of each first half
+        first = np.repeat(np.arange(len(i)), n)
+        second = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[i], n)
+        fits = a[i[first], x[first]] + b[j[second], y[second]] >= self.height
+        first, second = first[fits], second[fits]
+        return i[first], x[first].astype(np.int64) * b.shape[1] + y[second]
+
+
+def _fitting(dim: int, codes: int) -> int:
+    """Directions to a part, fewer where a few dimensions hold fewer that are far apart."""
+    return max(2, min(codes, 3 ** min(dim // PARTS, 30)))
 
 
 _codes: dict[tuple, list[ProductCode]] = {}
@@ -74,13 +92,36 @@ _codes: dict[tuple, list[ProductCode]] = {}
 def _family(dim: int, tables: int, codes: int, filters: float) -> list[ProductCode]:
     key = (dim, tables, codes, filters)
     if key not in _codes:
-        first = ProductCode(dim, PARTS, codes, filters)
-        _codes[key] = [first, *(ProductCode(dim, PARTS, codes, filters, t, first.height) for t in range(1, tables))]
+        fitting = _fitting(dim, codes)
+        first = ProductCode(dim, PARTS, fitting, filters)
+        _codes[key] = [first, *(ProductCode(dim, PARTS, fitting, filters, t, first.height) for t in range(1, tables))]
     return _codes[key]
 
 
+def tables_for(dim: int, codes: int, filters: float, least: float, recall: float = RECALL, pairs: int = 1024) -> int:
+    """How many codes let a share ``recall`` of the pairs of cosine ``least`` meet in a filter; measured on random pairs in one code.
+
+    Codes are rotated independently, so a pair fails to meet in any of t codes with the t-th power of its chance to
+    fail in one. Settings for which MOST_TABLES don't do are refused.
+    """
+    rng = np.random.default_rng([7, dim])
+    code, met = ProductCode(dim, PARTS, _fitting(dim, codes), filters), 0
+    for _ in range(0, pairs, 32):
+        x, z = rng.standard_normal((2, 32, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-300
+        a, b = (set(zip(*code.decode(v), strict=True)) for v in (x, least * x + np.sqrt(max(0.0, 1 - least * least)) * z))
+        met += len({row for row, _ in a & b})
+    p = met / pairs
+    t = 1 if p >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - p))) if p > 0 else MOST_TABLES + 1
+    if t > MOST_TABLES:
+        raise ValueError(f"cosine {least} in {dim} dimensions: pairs meet in a filter with a chance of {p:.4f}, too seldom for a recall of {recall}")
+    return t
+
+
 def _count_links(near: np.ndarray, rows: slice, v: dict[str, np.ndarray], lists: pa.ChunkedArray, out: list[tuple]) -> None:
-    """Add the links of one group of which this is the first filter that both vectors are in."""
+    """Add the links of one group of which this is the first filter that both vectors are in, as counts and a spanning forest."""
     this, c, copies = v["filter"][rows.start], v["c"][rows], v["copies"][rows]
     if v["lo"][rows.start] != v["hi"][rows.start]:
         near &= v["part"][rows][:, None] != v["part"][rows][None, :]
@@ -93,30 +134,28 @@ def _count_links(near: np.ndarray, rows: slice, v: dict[str, np.ndarray], lists:
             has[i, [known[f] for f in e]] = 1
         near[np.ix_(at, at)] &= (has @ has.T) == 0
     links = near @ copies + near.T @ copies
-    root = list(range(len(c)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    out += [(c[i], links[i], c[i]) for i in np.flatnonzero(links)]
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = top(i), top(j)
-        if a != b:
-            root[b] = a
-            out.append((c[i], 0, c[j]))
+    out.append((c[links > 0], links[links > 0], c[links > 0]))
+    root = np.arange(len(c))
+    for i in np.flatnonzero(near.any(axis=1)):
+        j = np.flatnonzero(near[i] & (root != root[i]))
+        if len(j):
+            met, one = np.unique(root[j], return_index=True)
+            out.append((np.full(len(met), c[i]), np.zeros(len(met), links.dtype), c[j[one]]))
+            root[np.isin(root, met)] = root[i]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, codes: int = CODES, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, codes: int | None = None, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine ``least`` or more: id, n_links, component_id, kept; a row for each row of ``vectors``.
 
     Each vector is put into every filter whose cap it lies in; pairs that share a filter are compared in double
     precision, so no link is false, and a link is missed only if its two vectors share none of their filters (recall
     is measured in the tests). Equal vectors are one class, compared once. Members of a filter meet in groups of two
     blocks; a pair counts in the first filter it shares. A group returns each vector's number of links and a
-    spanning forest of the links, never all pairs. ``codes`` is to grow with the square root of the table's size, so
-    that filters stay about as full as they are here.
+    spanning forest of the links, never all pairs. ``codes``, directions to a part, grow with the square root of the
+    number of different vectors unless given, so that filters stay about as full; the number of independent codes is
+    then what a recall of RECALL at the threshold takes (``tables_for``), and settings that can't reach it are refused.
+
+    Ids must be whole numbers.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component;
     vectors of other lengths are never compared. A null id gives a null component unless a smaller id is linked.
@@ -124,29 +163,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "cap-filters")
-    v = F.col(vector_col).cast("array<double>")
+    whole_ids(vectors, id_col)
+    d, (i, e) = by_place(vectors, id_col, vector_col)
+    # Single precision is sent as such, and only widened to be compared.
+    single = d.schema[e].dataType.elementType.typeName() == "float"
+    kind = "float" if single else "double"
+    v = F.col(e).cast(f"array<{kind}>")
     sound = F.coalesce(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, v).alias("v"))
+    rows = d.select(F.col(i).cast("long").alias("id"), F.when(sound, v).alias("v"))
     rows = scratch.save(rows.withColumn("n1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("n2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))), "rows")
     classes = rows.where("v is not null").groupBy("n1", "n2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = scratch.save(classes.select(F.xxhash64("n1", "n2").alias("c"), "n1", "n2", "first_id", "copies", "v"), "classes")
 
+    told = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()
+    codes = codes or max(CODES, 1 << int(np.ceil(np.log2(max(2, 2 * filters * sum(r["n"] for r in told))) / 2)))
+    tables = {r["dim"]: tables_for(r["dim"], codes, filters, least) for r in told}
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                vs = part.column(1).to_pylist()
-                out: list = [None] * len(vs)
-                for dim in {len(v) for v in vs}:
-                    at = [i for i, v in enumerate(vs) if len(v) == dim]
-                    x = np.array([vs[i] for i in at])
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                size = part.column(1).value_lengths().to_numpy()
+                for dim in np.unique(size):
+                    some = part.filter(pa.array(size == dim))
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    family = _family(dim, tables, codes, filters)
-                    found = [[f + t * codes**PARTS for f in code.decode(x)] for t, code in enumerate(family)]
-                    for k, i in enumerate(at):
-                        out[i] = np.concatenate([f[k] for f in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["c", "filters"])
+                    family = _family(int(dim), tables.get(int(dim)) or tables_for(int(dim), codes, filters, least), codes, filters)
+                    found = [code.decode(x) for code in family]
+                    row = np.concatenate([r for r, _ in found])
+                    name = np.concatenate([f + t * codes**PARTS for t, (_, f) in enumerate(found)])
+                    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))].astype(np.int32)
+                    filters_ = pa.ListArray.from_arrays(offsets, pa.array(name[np.argsort(row, kind="stable")], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([some.column(0), filters_], ["c", "filters"])
 
     decoded = classes.select("c", "v").mapInArrow(decode, "c long, filters array<long>").select("c", F.explode("filters").alias("filter"))
     inside = scratch.save(blocked(scratch.save(decoded, "decoded"), "filter", "c", BLOCK, scratch, "caps"), "caps")
@@ -164,6 +213,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
             for dim in np.unique(v["dim"]):
                 at = np.flatnonzero(v["dim"] == dim)
                 x = rows.take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = x.astype(float)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 unit[dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
                 place[at] = np.arange(len(at))
@@ -174,7 +224,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
                     near = np.triu(np.clip(x @ x.T, -1, 1) >= least, 1)
                     if near.any():
                         _count_links(near, slice(lo, hi), v, lists, out)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["c", "links", "other"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)], ["c", "links", "other"])
 
     inside = inside.select("filter", "lo", "hi", F.size("v").cast("int").alias("dim"), "c", "part", "copies", "filters", "v")
     dealt = inside.repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "dim", "c")
