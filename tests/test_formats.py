@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veraframe import inspect as pane
 from veraframe.errors import CodecError, Condition, InputError
 from veraframe.functions.numbers import from_ibm, to_ibm
-from veraframe.meta import SPECIAL, Dataset, Meta, set_meta
+from veraframe.meta import SPECIAL, Dataset, Meta, meta_from_frame, set_meta
 from veraframe.sources import io, xpt
 from veraframe.sources.ndjson import write_ndjson
 from veraframe.sources.xpt import members_of, read_xpt, sas_stamp, write_xpt
@@ -220,3 +220,90 @@ def test_wide_frames(spark, tmp_path):
     io.write_dataset(d, f"{tmp_path}/w.xpt")
     assert len(io.read_dataset(spark, f"{tmp_path}/w.xpt").names) == n
     assert len(pane.columns(d).rows) == n and "VAR0000" in str(pane.columns(d))
+
+
+def small(spark, path, lines, **columns):
+    head = {"datasetJSONVersion": "1.1.0", "name": "D", "columns": [{"itemOID": n, "name": n, "label": n, "dataType": t} for n, t in columns.items()]}
+    text = "\n".join([json.dumps(head), *lines]) + "\n"
+    (gzip.open if path.endswith(".gz") else open)(path, "wt", encoding="utf-8").write(text)
+    return text
+
+
+@pytest.mark.parametrize("line", ['{"damaged": ["row"', '{"datasetJSONVersion": "1.1.0"}', '["a"]', '["a", "x"]', '["a", 1, 2]', "plain"])
+def test_damaged_lines_are_errors(spark, tmp_path, line):
+    small(spark, f"{tmp_path}/d.ndjson", ['["a", 1]', line, '["b", 2]'], A="string", N="integer")
+    with pytest.raises(Exception, match="d.ndjson"):
+        io.read_dataset(spark, f"{tmp_path}/d.ndjson").df.collect()
+
+
+def test_text_in_a_number_is_an_error_in_json_too(spark, tmp_path):
+    doc = {"datasetJSONVersion": "1.1.0", "name": "D", "columns": [{"itemOID": n, "name": n, "label": n, "dataType": t} for n, t in (("A", "float"), ("B", "boolean"))]}
+    for row, ok in (([1.5, True], True), ([None, None], True), (["abc", None], False), ([None, "perhaps"], False)):
+        (tmp_path / "d.json").write_text(json.dumps(doc | {"rows": [row]}))
+        if ok:
+            assert [tuple(r) for r in io.read_dataset(spark, f"{tmp_path}/d.json").df.collect()] == [tuple(row)]
+        else:
+            with pytest.raises(Exception, match="can't hold"):
+                io.read_dataset(spark, f"{tmp_path}/d.json").df.collect()
+
+
+def test_gzip_and_character_sets_by_content(spark, tmp_path):
+    text = small(spark, f"{tmp_path}/a.ndjson", ['["é€", 1]', '["b", 2]'], A="string", N="integer")
+    (tmp_path / "zipped.ndjson").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "latin.ndjson").write_bytes(text.encode("cp1252"))
+    for name, options in (("a", {}), ("zipped", {}), ("latin", {"encoding": "windows-1252"})):
+        x = io.read_dataset(spark, f"{tmp_path}/{name}.ndjson", **options)
+        assert [tuple(r) for r in x.df.collect()] == [("é€", 1), ("b", 2)]
+        assert x.meta.dataset.get("encoding") == ("WINDOWS-1252" if options else None)
+        assert io.read_dataset(spark, f"{tmp_path}/{name}.ndjson", n_max=1, **options).df.collect()[0][0] == "é€"
+
+
+def test_first_rows_of_several_parts(spark, tmp_path):
+    d = spark.range(0, 4000, 1, 7).select(F.col("id").cast("int").alias("N"), F.col("id").cast("string").alias("T"))
+    write_ndjson(d, f"{tmp_path}/p.ndjson", layout="parts")
+    write_ndjson(d, f"{tmp_path}/f.ndjson")
+    io.write_dataset(d, f"{tmp_path}/q.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for f in ("p.ndjson", "f.ndjson", "q.parquet"):
+            got = [r.N for r in io.read_dataset(spark, f"{tmp_path}/{f}", n_max=1500).df.collect()]
+            assert sorted(got) == list(range(1500)), f
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_metadata_in_a_footer(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    head = {"datasetJSONVersion": "1.1.0", "name": "ADSL", "label": "Subjects", "columns": [{"itemOID": "IT.A", "name": "A", "label": "First", "dataType": "string", "length": 5, "keySequence": 1}]}
+    t = pa.table({"A": ["x", "y"], "MORE": [1, 2]}).replace_schema_metadata({"metadata_json": json.dumps(head)})
+    pq.write_table(t, f"{tmp_path}/x.parquet")
+    x = io.read_dataset(spark, f"{tmp_path}/x.parquet")
+    assert x.meta.dataset["label"] == "Subjects" and x.meta.columns["A"]["label"] == "First" and x.meta.keys == ["A"]
+    assert list(x.meta.columns) == ["A", "MORE"] and x.df.count() == 2
+
+
+def test_parquet_text_that_a_character_set_lacks(spark, tmp_path):
+    d = spark.createDataFrame([("é",), ("Ω",)], "T string")
+    with pytest.raises(CodecError, match="lacks"):
+        io.write_dataset(d, f"{tmp_path}/x.parquet", encoding="windows-1252")
+    io.write_dataset(d, f"{tmp_path}/x.parquet", encoding="windows-1252", on_invalid="replace")
+    x = io.read_dataset(spark, f"{tmp_path}/x.parquet")
+    assert sorted(r[0] for r in x.df.collect()) == ["?", "é"] and x.meta.dataset["encoding"] == "WINDOWS-1252"
+
+
+def test_plain_text_meets_no_python(spark, tmp_path):
+    """Only columns that hold a text which composing might change are sent to Python."""
+    from veraframe.sources.json_rows import row_text
+
+    d = spark.createDataFrame([("plain", "café"), ("x", "y")], "A string, B string")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan(row_text(Dataset(d, meta_from_frame(d))))
+    odd = spark.createDataFrame([("plain", "café")], "A string, B string")
+    assert "ArrowEvalPython" in plan(row_text(Dataset(odd, meta_from_frame(odd))))
+    io.write_dataset(odd, f"{tmp_path}/o.parquet")
+    assert io.read_dataset(spark, f"{tmp_path}/o.parquet").df.first()[1] == "café"

@@ -26,7 +26,8 @@ def code_text(c: Column, kind: str) -> Column:
     """A value as it stands in a codelist: 1.0 is written 1, and other numbers with 15 significant digits."""
     if kind not in ("double", "float"):
         return c.cast("string")
-    return F.when((c % 1 == 0) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(shortest_text(c.cast("double")))
+    plain = (c % 1 == 0) & (F.abs(c) < 1e15)
+    return F.coalesce(F.when(plain, c.cast("long").cast("string")), shortest_text(F.when(~plain, c.cast("double"))))
 
 
 def whole(c: Column) -> Column:

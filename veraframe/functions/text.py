@@ -109,9 +109,14 @@ def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+def composable(c: Column) -> Column:
+    """Whether composing might change a text: only characters from U+0300 on compose or are composed otherwise."""
+    return F.coalesce((F.octet_length(c) != F.length(c)) & F.regexp_like(c, F.lit("[^\\x{0}-\\x{2ff}]")), F.lit(False))
+
+
 def nfc(c: Column) -> Column:
-    """Unicode's composed form; plain ASCII never leaves the JVM's own code for it."""
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_nfc(c))
+    """Unicode's composed form. Spark runs a Python function over all rows whatever stands around it, so those that can't change go there as nulls."""
+    return F.coalesce(_nfc(F.when(composable(c), c)), c)
 
 
 def encodable(name: str):
@@ -129,7 +134,7 @@ def encodable(name: str):
 
         return x.map(one, na_action="ignore")
 
-    return lambda c: F.coalesce(F.octet_length(c) == F.length(c), F.lit(True)) | F.coalesce(check(c), F.lit(True))
+    return lambda c: F.coalesce(check(F.when(F.octet_length(c) != F.length(c), c)), F.lit(True))
 
 
 #: What to do with characters that a set lacks.
@@ -164,7 +169,7 @@ def to_charset(c: Column, name: str, policy: str = "error") -> Column:
 
         return x.map(one, na_action="ignore")
 
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(change(c))
+    return F.coalesce(change(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
 def cut_bytes(text: str, most: int, codec: str = "utf-8") -> str:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CodecError
+from ..functions.text import charset
 from ..meta import Dataset, as_dataset, parse, payload, stamp
-from .files import check_path, write_one_file
+from .files import check_path, text_lines, write_one_file
 from .json_rows import cells, narrowed, row_text, special_rows, with_special
 
 
@@ -22,14 +23,14 @@ def write_json(x: Dataset | DataFrame, path: str, on_invalid: str = "error", cre
     return x
 
 
-def read_json(spark: SparkSession, path: str, col_select: list[str] | None = None, n_max: int | None = None) -> Dataset:
-    """Read one document. It isn't splittable, so one task parses it (2 GB at most); NDJSON is the form for larger ones.
+def read_json(spark: SparkSession, path: str, col_select: list[str] | None = None, n_max: int | None = None, encoding: str | None = None) -> Dataset:
+    """Read one document, in the character set ``encoding``, UTF-8 unless given. It isn't splittable, so one task parses it (2 GB at most); NDJSON is the form for larger ones.
 
     The driver sees the metadata, never the rows.
     """
     path = check_path(path)
     text = F.ltrim("value", F.lit("﻿"))
-    doc = spark.read.text(path, wholetext=True).select(text.alias("value"))
+    doc = text_lines(spark, path, wholetext=True, encoding=encoding).select(text.alias("value"))
     first = doc.select(F.json_object_keys("value").alias("keys"), F.contains(F.col("value"), F.lit("\x00")).alias("nul")).first()
     if first is None or first["keys"] is None or "columns" not in first["keys"] or first["nul"]:
         raise CodecError(f"{path} is no Dataset-JSON document", path=path)
@@ -39,6 +40,7 @@ def read_json(spark: SparkSession, path: str, col_select: list[str] | None = Non
         meta, special = parse({k: _value(got[i]) for i, k in enumerate(names)})
     except (ValueError, KeyError, TypeError) as e:
         raise CodecError(f"{path}: bad metadata: {e}", path=path) from e
+    meta = meta.with_dataset(encoding=charset(encoding)) if encoding else meta
     array = F.from_json(F.coalesce(F.get_json_object("value", "$.rows"), F.lit("[]")), "array<array<string>>")
     rows = doc.select(F.posexplode(F.coalesce(array, F.raise_error(F.lit(f"{path}: rows can't be read")))).alias("_row", "cells")).withColumn("_row", F.col("_row").cast("long") + 1)
     df = rows.select("_row", *cells(F.col("cells"), meta, path))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import shutil
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import CodecError, InputError
+from ..functions.text import charset, python_codec
 
 
 def check_path(path: object) -> str:
@@ -36,11 +40,16 @@ def read_range(spark: SparkSession, path: str, offset: int, size: int) -> bytes:
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
     try:
         stream.seek(offset)
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+        return bytes(stream.readNBytes(size))
     finally:
         stream.close()
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+
+
 def write_one_file(records: DataFrame, path: str, head: bytes = b"", tail: bytes = b"", between: bytes = b"", pad_to: int = 0, pad: bytes = b" ", gz: bool = False) -> int:
     """Write one column of binary or text records to one file, in partition order; the number of records.
 
@@ -67,8 +76,6 @@ def write_one_file(records: DataFrame, path: str, head: bytes = b"", tail: bytes
 
     try:
         counts = {r["k"]: r["n"] for r in records.mapInArrow(write, "k long, n long").collect()}  # a row for each task
-        import gzip
-
         temporary = f"{parts}/whole"
         with (gzip.open if gz else open)(temporary, "wb") as out:
             out.write(head)
@@ -92,5 +99,37 @@ def write_one_file(records: DataFrame, path: str, head: bytes = b"", tail: bytes
         shutil.rmtree(parts, ignore_errors=True)
 
 
-def is_gzip(start: bytes) -> bool:
-    return start[:2] == b"\x1f\x8b"
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    """By content: a compressed file may lack the suffix by which Spark knows it."""
+    return read_range(spark, path, 0, 2) == b"\x1f\x8b"
+
+
+def text_lines(spark: SparkSession, path: str, wholetext: bool = False, encoding: str | None = None) -> DataFrame:
+    """The lines of a text file or of those of a folder, or with ``wholetext`` each file as one.
+
+    A file that is compressed without a suffix that says so is unpacked by the task that reads it, as a whole, and so
+    is one of another character set than UTF-8: neither can be split at lines, so such a file should fit into memory.
+    """
+    utf8 = encoding is None or charset(encoding) in ("UTF-8", "US-ASCII")
+    plain = path.endswith(".gz") or _is_folder(spark, path) or not is_gzip(spark, path)
+    if utf8 and plain:
+        return spark.read.text(path, wholetext=wholetext)
+    codec = "utf-8" if utf8 else python_codec(charset(encoding or "utf-8"))
+
+    @F.pandas_udf("string")
+    def decoded(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else bytes(b)).decode(codec))
+
+    whole = spark.read.format("binaryFile").load(path).select(decoded("content").alias("value"))
+    if wholetext:
+        return whole
+    lines = whole.select(F.explode(F.split("value", "\r\n|\r|\n")).alias("value"))
+    return lines
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise CodecError(f"{path} does not exist", path=path)
+    return fs.getFileStatus(where).isDirectory()

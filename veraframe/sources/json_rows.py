@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..errors import CodecError
 from ..functions.numbers import finite
 from ..functions.temporal import deflated, iso_text, realized
-from ..functions.text import nfc, to_charset
+from ..functions.text import composable, nfc, to_charset
 from ..meta import SPECIAL, TAGS, Dataset, Meta, is_iso_text
 from ..types import TEMPORAL
 
@@ -46,23 +46,24 @@ def literal(c: Column, kind: T.DataType, column: dict) -> Column:
 def row_text(x: Dataset, on_invalid: str = "error", tagged: list[str] | None = None) -> DataFrame:
     """One text column: each row as a JSON array, with the tags of columns ``tagged`` behind its cells. Infinite numbers and text that isn't UTF-8 stop it first, in one pass."""
     df, meta = x.df, x.meta
-    tests = []
+    tests, compose = [], "texts to compose"
     for n in x.names:
         c, kind = F.col(f"`{n}`"), df.schema[n].dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             tests.append((n, "numbers that are not finite", F.count_if(c.isNotNull() & ~finite(c))))
         elif isinstance(kind, T.StringType) and on_invalid == "error":
             tests.append((n, "texts that are not UTF-8", F.count_if(~F.is_valid_utf8(c))))
-    if tests:
-        row = df.agg(*[t.alias(f"_{i}") for i, (*_, t) in enumerate(tests)]).first()
-        bad = [(n, what, row[i]) for i, (n, what, _) in enumerate(tests) if row[i]]
-        if bad:
-            raise CodecError("; ".join(f"{n}: {k} {what}" for n, what, k in bad), columns=[n for n, *_ in bad])
+            tests.append((n, compose, F.count_if(composable(c))))
+    row = df.agg(*[t.alias(f"_{i}") for i, (*_, t) in enumerate(tests)]).first() if tests else ()
+    bad = [(n, what, row[i]) for i, (n, what, _) in enumerate(tests) if row[i] and what != compose]
+    if bad:
+        raise CodecError("; ".join(f"{n}: {k} {what}" for n, what, k in bad), columns=[n for n, *_ in bad])
+    composed = {n for i, (n, what, _) in enumerate(tests) if row[i] and what == compose}
     cells = []
     for n in x.names:
         c, kind = F.col(f"`{n}`"), df.schema[n].dataType
         if isinstance(kind, T.StringType):
-            c = nfc(c) if on_invalid == "error" else to_charset(F.make_valid_utf8(c), "UTF-8", on_invalid)
+            c = (nfc(c) if n in composed else c) if on_invalid == "error" else to_charset(F.make_valid_utf8(c), "UTF-8", on_invalid)
         cells.append(literal(c, kind, meta.columns[n]))
     cells += [F.coalesce(string_text(tag_of(n)), F.lit("null")) for n in tagged or []]
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("value"))
@@ -113,25 +114,44 @@ def with_special(df: DataFrame, special: dict[str, dict[str, list]], row: str) -
 def cells(rows: Column, meta: Meta, where: str, tagged: list[str] | None = None) -> list[Column]:
     """Columns from an array of JSON texts by the metadata; a row of another length is an error when it is read.
 
-    The tags of columns ``tagged`` stand behind the cells.
+    The tags of columns ``tagged`` stand behind the cells. A cell that its column's type can't hold is an error too,
+    not a missing value.
     """
     n = len(meta.columns) + len(tagged or [])
     checked = F.when(F.size(rows) == n, rows).otherwise(F.raise_error(F.concat(F.lit(f"{where}: a row has "), F.size(rows).cast("string"), F.lit(f" cells of {n}"))))
     out = []
     for i, (name, c) in enumerate(meta.columns.items()):
-        v, want = F.get(checked, F.lit(i)), c["dataType"]
+        v, want, got = F.get(checked, F.lit(i)), c["dataType"], None
         if want in ("integer", "float", "double"):
-            v = v.try_cast("double")
+            got = v.try_cast("double")
         elif want == "boolean":
-            v = v.try_cast("boolean")
+            got = v.try_cast("boolean")
         elif want in TEMPORAL and not is_iso_text(c):
-            v = F.coalesce(realized(v.try_cast("double"), want, text=False), realized(v, want, text=True))
+            got = F.coalesce(realized(v.try_cast("double"), want, text=False), realized(v, want, text=True))
+        if got is not None:
+            told = F.concat(F.lit(f"{where}: {name} is of type {want} and can't hold "), F.substring(v, 1, 40))
+            v = F.when(got.isNull() & (F.btrim(v) != ""), F.raise_error(told)).otherwise(got)
         out.append(v.alias(name, metadata=c))
     for i, name in enumerate(tagged or [], len(meta.columns)):
         out.append(F.get(checked, F.lit(i)).alias(f"{SPECIAL}{name}"))
     return out
 
 
+def first_rows(df: DataFrame, n: int, place: list[str]) -> DataFrame:
+    """The first n rows in the order of ``place``, the file and the byte where a task's share of it begins, and within that as they are read."""
+    order = [*place, "_read"]
+    return df.withColumn("_read", F.monotonically_increasing_id()).orderBy(*order).limit(n).drop(*order)
+
+
+#: Where a row of a file scan stands, for ``first_rows``.
+PLACE = {"_file": "_metadata.file_path", "_block": "_metadata.file_block_start"}
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """A file scan with the columns of ``PLACE``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(v).alias(k) for k, v in PLACE.items()])
+
+
 def narrowed(df: DataFrame, meta: Meta) -> DataFrame:
     """Integer columns as 32-bit where all of their values fit; one that doesn't stays double whole, as readers expect."""
     whole = [n for n, c in meta.columns.items() if c["dataType"] == "integer" and n in df.columns]

@@ -5,22 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..meta import Meta
 from ..operators.check import Checks, check_spec
 from ..rules import Finding, findings_frame
-from ..sources.ndjson import rows_schema
+from ..sources.ndjson import row_lines, rows_schema
 from ..spec import Spec
 
 
 def stream_ndjson(spark: SparkSession, folder: str, meta: Meta, files_each: int | None = None, tagged: list[str] | None = None) -> DataFrame:
-    """Rows of NDJSON files as they arrive in a folder, decoded by known metadata; metadata lines are skipped.
+    """Rows of NDJSON files as they arrive in a folder, decoded by known metadata; metadata lines, objects with ``columns``, are skipped.
 
     ``tagged`` names the columns whose tags stand in the rows, in the order of the metadata.
     """
     r = spark.readStream
-    return rows_schema((r.option("maxFilesPerTrigger", files_each) if files_each else r).text(folder), meta, folder, tagged)
+    lines = row_lines((r.option("maxFilesPerTrigger", files_each) if files_each else r).text(folder))
+    heads = F.coalesce(F.get_json_object("value", "$.columns").isNotNull(), F.lit(False))
+    return rows_schema(lines.where(~heads), meta, folder, tagged)
 
 
 def check_stream(rows: DataFrame, spec: Spec, dataset: str, findings_path: str, checkpoint: str, checks: Checks | None = None, then: Callable[[DataFrame, list[Finding]], None] | None = None) -> StreamingQuery:
