@@ -171,13 +171,12 @@ def apply_spec(x: DataFrame | Dataset, spec: Spec, dataset: str, conformance: st
         if gone:
             inform("apply", f"{dataset}: dropped {', '.join(gone)}")
             df = df.drop(*gone)
-    df = sort_keys(order_columns(df, spec, dataset), spec.keys(dataset), na_position, tie)
-    df, meta = stamp_meta(df, spec, dataset)
-    out = Dataset(df, meta)
+    df, meta = stamp_meta(order_columns(df, spec, dataset), spec, dataset)
+    # The checks don't hang on the rows' order, so they read the frame before it is sorted.
+    found = [] if conformance == "off" else check_spec(Dataset(df, meta), spec, dataset, checks=checks)
+    out = Dataset(sort_keys(df, spec.keys(dataset), na_position, tie), meta, tuple(found))
     if conformance == "off":
         return out
-    found = check_spec(out, spec, dataset, checks=checks)
-    out = replace(out, findings=tuple(found))
     errors = [f for f in found if f.severity == "error"]
     if conformance == "abort" and errors:
         raise ConformanceError(report(errors, f"{dataset} does not conform"), findings=found)

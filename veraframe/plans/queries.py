@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import inspect as pane
 from ..functions.numbers import from_ibm, shortest_text, to_ibm
 from ..functions.temporal import deflated, iso_ok, iso_text, realized
-from ..functions.text import PUNCTUATION, ascii_folds, fold_ascii, fold_punctuation, nfc
-from ..meta import SPECIAL, Dataset, meta_from_frame, payload, set_meta
+from ..functions.text import PUNCTUATION, ascii_folds, fold_ascii, fold_punctuation, nfc, to_charset
+from ..meta import SPECIAL, Dataset, get_meta, meta_from_frame, payload, set_meta
 from ..operators.check import check_spec, check_study, study_matrix
 from ..operators.conform import apply_spec, coercion_tally, order_columns, sort_keys
 from ..operators.decode import decode_column
@@ -21,7 +23,9 @@ from ..rules import catalog, findings_frame
 from ..sources import io
 from ..sources.ndjson import write_ndjson
 from ..sources.parquet import read_parquet, write_parquet
-from ..spec import make_spec, repair_spec, set_type
+from ..sources.spec_files import read_spec, write_spec
+from ..sources.xpt import read_xpt
+from ..spec import Spec, make_spec, repair_spec, set_type
 from ..streaming.ndjson_stream import stream_ndjson
 from . import specs
 
@@ -175,12 +179,34 @@ def check_iso8601(spark: SparkSession, sf: str) -> DataFrame:
     return findings_frame(spark, check_spec(d, make_spec([{"dataset": "EV"}], [{"dataset": "EV", "variable": "dtc", "data_type": "datetime"}]), "EV"))
 
 
-_ISO = (("date", "1951", True), ("date", "1951-12", True), ("date", "2003---15", True), ("date", "--12-15", True), ("date", "12NOV2019", False), ("date", "2014-02-30", False), ("date", "2014-13-01", False), ("date", "2014-12T13", False), ("date", "", True), ("datetime", "2003-12-15T13:14:17.123", True), ("datetime", "2003-12-15T13:14:17+05:30", True), ("datetime", "2003---15T13:14", True), ("datetime", "2003-12-15T-:15", True), ("datetime", "2014-12T13", False), ("datetime", "2014-12-01T25:00", False), ("time", "T13:14", True), ("time", "-:15", True), ("time", "25", False), ("time", "13:75", False), ("time", "-", False))
+#: Forms of a time stamp: kind, pattern, whether it is ISO 8601; {H} and {M} are an hour and a minute beyond the clock.
+_FORMS = (
+    ("date", "{y}", True), ("date", "{y}-{m}", True), ("date", "{y}-{m}-{d}", True), ("date", "{y}---{d}", True), ("date", "--{m}-{d}", True),
+    ("date", "{y}/{m}/{d}", False), ("date", "{y}-{H}-{d}", False), ("date", "{y}-02-30", False), ("date", "{y}-{m}T{h}", False),
+    ("datetime", "{y}-{m}-{d}T{h}", True), ("datetime", "{y}-{m}-{d}T{h}:{n}:{s}.{d}", True), ("datetime", "{y}-{m}-{d}T{h}:{n}+05:30", True), ("datetime", "{y}---{d}T{h}:{n}", True),
+    ("datetime", "{y}-{m}-{d}T-:{n}", True), ("datetime", "{y}-{m}-{d}T{H}:{n}", False), ("datetime", "{y}-{m}-{d}T{h}:{M}", False),
+    ("time", "{h}:{n}:{s}", True), ("time", "T{h}:{n}", True), ("time", "-:{s}", True), ("time", "{H}:{n}", False), ("time", "{h}:{M}", False), ("time", "-", False),
+)
+
+
+def _form_sql(form: str) -> str:
+    parts = {"y": "strftime(ts, '%Y')", "m": "strftime(ts, '%m')", "d": "strftime(ts, '%d')", "h": "strftime(ts, '%H')", "n": "strftime(ts, '%M')", "s": "strftime(ts, '%S')", "H": "(hour(ts) + 25)", "M": "(minute(ts) + 60)"}
+    return "'" + reduce(lambda t, p: t.replace("{" + p + "}", f"' || {parts[p]} || '"), parts, form) + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {ok})" for k, v, ok in _ISO) + ") t(kind, value, ok)")
+@query("SELECT event_id, kind, value, ok FROM (" + " UNION ALL ".join(f"SELECT event_id, '{k}' AS kind, {_form_sql(f)} AS value, {ok} AS ok FROM events WHERE event_id % {len(_FORMS)} = {i}" for i, (k, f, ok) in enumerate(_FORMS)) + ")")
 def iso8601_grammar(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(k, v) for k, v, _ in _ISO], "kind string, value string")
+    """Each event's time in one of the forms, judged by the grammar."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    hour, minute = F.hour("ts"), F.minute("ts")
+    parts = {"y": F.year("ts").cast("string"), "m": two(F.month("ts")), "d": two(F.dayofmonth("ts")), "h": two(hour), "n": two(minute), "s": two(F.second("ts")), "H": (hour + 25).cast("string"), "M": (minute + 60).cast("string")}
+
+    def written(form: str) -> Column:
+        return reduce(lambda t, p: F.replace(t, F.lit("{" + p + "}"), parts[p]), parts, F.lit(form))
+
+    n = F.pmod("event_id", F.lit(len(_FORMS)))
+    choose = lambda values: F.coalesce(*[F.when(n == i, v) for i, v in enumerate(values)])
+    d = _t(spark, sf, "events").select("event_id", choose([F.lit(k) for k, *_ in _FORMS]).alias("kind"), choose([written(f) for _, f, _ in _FORMS]).alias("value"))
     c = F.col("value")
     return d.withColumn("ok", F.when(F.col("kind") == "date", iso_ok(c, "date")).when(F.col("kind") == "time", iso_ok(c, "time")).otherwise(iso_ok(c, "datetime")))
 
@@ -452,7 +478,7 @@ def round_trip_xpt8(spark: SparkSession, sf: str) -> DataFrame:
 def partial_read(spark: SparkSession, sf: str) -> DataFrame:
     """Columns in the file's order, and the first rows of a sorted file."""
     path = f"{_where(spark)}.ndjson"
-    write_ndjson(_t(spark, sf, "customer").orderBy("c_custkey").coalesce(1), path)
+    write_ndjson(_t(spark, sf, "customer").orderBy("c_custkey"), path)
     return io.read_dataset(spark, path, col_select=["c_mktsegment", "c_name"], n_max=25).df
 
 
@@ -506,3 +532,188 @@ def checkpoint_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = _where(spark)
     write_parquet(_flat(spark, sf), path, compression="zstd")
     return read_parquet(spark, path).df
+
+
+# -- specification files ----------------------------------------------------------
+
+
+def _world(spark: SparkSession, sf: str) -> Spec:
+    """A specification with codelists from two small tables of fixed size: 25 nations and 5 regions."""
+    nations = _t(spark, sf, "nation").orderBy("n_nationkey").collect()
+    regions = _t(spark, sf, "region").orderBy("r_regionkey").collect()
+    lists = [{"codelist_id": "CL.NATION", "term": str(r["n_nationkey"]), "decode": r["n_name"], "order": i} for i, r in enumerate(nations, 1)]
+    lists += [{"codelist_id": "CL.REGION", "term": str(r["r_regionkey"]), "decode": r["r_name"], "order": i} for i, r in enumerate(regions, 1)]
+    return make_spec(
+        datasets=[{"dataset": "CUST", "label": "Customers", "keys": "CUSTKEY", "structure": "one row a customer"}],
+        variables=[
+            {"dataset": "CUST", "variable": "CUSTKEY", "data_type": "integer", "label": "Key", "order": 1, "mandatory": True, "key_sequence": 1},
+            {"dataset": "CUST", "variable": "NATION", "data_type": "integer", "label": "Nation & code", "order": 2, "codelist_id": "CL.NATION", "mandatory": False},
+            {"dataset": "CUST", "variable": "REGION", "data_type": "text", "label": "Region <1>", "order": 3, "codelist_id": "CL.REGION", "length": 12, "method_id": "MT.R", "mandatory": False},
+        ],
+        codelists=lists,
+        methods=[{"method_id": "MT.R", "name": "Region", "type": "Computation", "description": "looked up"}],
+        study={"study_name": "WORLD"},
+        standard="TEST 1.0",
+    )
+
+
+def _told(spark: SparkSession, spec: Spec) -> DataFrame:
+    rows = [("codelist", c["codelist_id"], c["term"], c["decode"], c["order"]) for c in spec.codelists]
+    rows += [("variable", v["dataset"], v["variable"], f"{v['data_type']}|{v['label']}|{v['codelist_id'] or ''}|{v['length'] or ''}|{v['mandatory']}", v["order"]) for v in spec.variables]
+    rows += [("dataset", d["dataset"], d["label"], d["keys"], 0) for d in spec.datasets]
+    rows += [("method", m["method_id"], m["type"], m["description"], 0) for m in spec.methods]
+    return spark.createDataFrame(rows, "slot string, name string, term string, told string, n int")
+
+
+_WORLD_SQL = (
+    "SELECT 'codelist' AS slot, 'CL.NATION' AS name, n_nationkey::VARCHAR AS term, n_name AS told, (row_number() OVER (ORDER BY n_nationkey))::INTEGER AS n FROM nation "
+    "UNION ALL SELECT 'codelist', 'CL.REGION', r_regionkey::VARCHAR, r_name, (row_number() OVER (ORDER BY r_regionkey))::INTEGER FROM region "
+    "UNION ALL SELECT * FROM (VALUES ('variable', 'CUST', 'CUSTKEY', 'integer|Key|||True', 1), ('variable', 'CUST', 'NATION', 'integer|Nation & code|CL.NATION||False', 2), ('variable', 'CUST', 'REGION', 'string|Region <1>|CL.REGION|12|False', 3), ('dataset', 'CUST', 'Customers', 'CUSTKEY', 0), ('method', 'MT.R', 'Computation', 'looked up', 0))"
+)
+
+
+def _spec_trip(spark: SparkSession, sf: str, ext: str) -> Spec:
+    path = f"{_where(spark).removeprefix('file://')}.{ext}"
+    write_spec(_world(spark, sf), path)
+    return read_spec(path)
+
+
+@query(_WORLD_SQL)
+def spec_json_file(spark: SparkSession, sf: str) -> DataFrame:
+    return _told(spark, _spec_trip(spark, sf, "json"))
+
+
+@query(_WORLD_SQL)
+def spec_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    return _told(spark, _spec_trip(spark, sf, "xlsx"))
+
+
+def _define(spec: Spec) -> str:
+    """A specification as Define-XML 2.1."""
+    from xml.sax.saxutils import escape, quoteattr as q
+
+    text = lambda t: f"<Description><TranslatedText>{escape(t)}</TranslatedText></Description>"
+    out = ['<ODM xmlns="http://www.cdisc.org/ns/odm/v1.3" xmlns:def="http://www.cdisc.org/ns/def/v2.1"><Study OID="S"><GlobalVariables><StudyName>WORLD</StudyName></GlobalVariables><MetaDataVersion OID="M" def:DefineVersion="2.1.0">']
+    for d in spec.datasets:
+        refs = "".join(f'<ItemRef ItemOID="IT.{v["variable"]}" OrderNumber="{v["order"]}" Mandatory="{"Yes" if v["mandatory"] else "No"}"' + (f' KeySequence="{v["key_sequence"]}"' if v["key_sequence"] else "") + (f" MethodOID={q(v['method_id'])}" if v["method_id"] else "") + "/>" for v in spec.variables)
+        out.append(f"<ItemGroupDef OID=\"IG\" Name={q(d['dataset'])}>{text(d['label'])}{refs}</ItemGroupDef>")
+    for v in spec.variables:
+        length = f' Length="{v["length"]}"' if v["length"] else ""
+        ref = f"<CodeListRef CodeListOID={q(v['codelist_id'])}/>" if v["codelist_id"] else ""
+        out.append(f'<ItemDef OID="IT.{v["variable"]}" Name="{v["variable"]}" DataType="{v["data_type"].replace("string", "text")}"{length}>{text(v["label"])}{ref}</ItemDef>')
+    for name in dict.fromkeys(c["codelist_id"] for c in spec.codelists):
+        items = "".join(f'<CodeListItem CodedValue={q(c["term"])} OrderNumber="{c["order"]}"><Decode><TranslatedText>{escape(c["decode"])}</TranslatedText></Decode></CodeListItem>' for c in spec.codelists if c["codelist_id"] == name)
+        out.append(f'<CodeList OID={q(name)} Name={q(name)} DataType="text">{items}</CodeList>')
+    out += [f"<MethodDef OID={q(m['method_id'])} Name={q(m['name'])} Type={q(m['type'])}>{text(m['description'])}</MethodDef>" for m in spec.methods]
+    return "".join([*out, "</MetaDataVersion></Study></ODM>"])
+
+
+@query(_WORLD_SQL)
+def spec_define_xml(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{_where(spark).removeprefix('file://')}.xml"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(_define(_world(spark, sf)))
+    return _told(spark, read_spec(path))
+
+
+@query("SELECT 'keys' AS what, 'CUSTKEY' AS told UNION ALL SELECT 'nations', count(*)::VARCHAR FROM nation UNION ALL SELECT 'regions', string_agg(r_name, ',' ORDER BY r_regionkey) FROM region UNION ALL SELECT * FROM (VALUES ('study', 'WORLD'), ('standard', 'TEST 1.0'), ('variables', 'CUSTKEY NATION REGION'))")
+def spec_accessors(spark: SparkSession, sf: str) -> DataFrame:
+    s = _spec_trip(spark, sf, "json")
+    rows = [("keys", " ".join(s.keys("CUST"))), ("nations", str(len(s.codelist("CL.NATION")))), ("regions", ",".join(c["decode"] for c in s.codelist("CL.REGION")))]
+    rows += [("study", s.study_field("study_name")), ("standard", s.standard), ("variables", " ".join(v["variable"] for v in s.ordered("CUST")))]
+    return spark.createDataFrame(rows, "what string, told string")
+
+
+# -- character sets, metadata, formats ------------------------------------------------
+
+_SET = "US-ASCII"
+_CURLY, _ACUTE, _OMEGA = chr(0x2019), chr(0xE9), chr(0x3A9)
+
+
+def _lacking(policy: str) -> str:
+    """SQL of a text after a policy: a curly quote, an accented letter and one that no table has."""
+    quote = PUNCTUATION[_CURLY].replace("'", "''")
+    signs = {"fold": (quote, "?", "?"), "translit": (quote, "e", "?"), "replace": ("?", "?", "?"), "ignore": ("", "", "")}[policy]
+    return f"c_name || CASE c_custkey % 4 WHEN 0 THEN '{signs[0]}' WHEN 1 THEN 'caf{signs[1]}' WHEN 2 THEN '{signs[2]}x' ELSE '' END"
+
+
+_POLICIES = ("fold", "translit", "replace", "ignore")
+
+
+@query("SELECT c_custkey, " + ", ".join(f'{_lacking(p)} AS "{p}"' for p in _POLICIES) + " FROM customer")
+def charset_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of characters that a character set lacks."""
+    m = F.pmod("c_custkey", F.lit(4))
+    text = F.concat("c_name", F.when(m == 0, _CURLY).when(m == 1, f"caf{_ACUTE}").when(m == 2, f"{_OMEGA}x").otherwise(""))
+    d = _t(spark, sf, "customer").select("c_custkey", text.alias("t"))
+    return d.select("c_custkey", *[to_charset(F.col("t"), _SET, p).alias(p) for p in _POLICIES])
+
+
+@query("SELECT STATUS, count(*) AS n, 'Status of the order' AS label, 3 AS place, 2 AS columns_left FROM (" + _FLAT + ") GROUP BY STATUS")
+def metadata_follows(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata through a change of the frame: columns that go lose theirs, new ones get theirs inferred, others keep them."""
+    x = _flat(spark, sf)
+    m = get_meta(x)
+    x = set_meta(x.df, replace(m, columns=m.columns | {"STATUS": m.columns["STATUS"] | {"label": "Status of the order"}}))
+    y = x.transform(lambda d: d.select("SEQ", F.lit(1).alias("NEW"), "STATUS"))
+    left = [n for n in y.meta.columns if n in m.columns]
+    told = F.lit(y.meta.columns["STATUS"]["label"]).alias("label"), F.lit(list(y.meta.columns).index("STATUS") + 1).alias("place"), F.lit(len(left)).alias("columns_left")
+    return y.df.groupBy("STATUS").agg(F.count("*").alias("n")).select("*", *told)
+
+
+@query(_FLAT)
+def round_trip_ndjson_gz(spark: SparkSession, sf: str) -> DataFrame:
+    return _trip(spark, sf, "ndjson.gz")
+
+
+@query(_FLAT)
+def round_trip_json_gz(spark: SparkSession, sf: str) -> DataFrame:
+    return _trip(spark, sf, "json.gz")
+
+
+@query("SELECT c_custkey::DOUBLE AS KEY, c_name AS NAME FROM customer ORDER BY c_custkey LIMIT 25")
+def partial_read_xpt(spark: SparkSession, sf: str) -> DataFrame:
+    """Some columns of the first records of a transport file."""
+    path = f"{_where(spark)}.xpt"
+    d = _t(spark, sf, "customer").orderBy("c_custkey").select(F.col("c_custkey").cast("double").alias("KEY"), F.col("c_name").alias("NAME"), F.col("c_mktsegment").alias("SEGMENT"))
+    io.write_dataset(set_meta(d, meta_from_frame(d, "CUST")), path)
+    return io.read_dataset(spark, path, col_select=["NAME", "KEY"], n_max=25).df.select("KEY", "NAME")
+
+
+@query("SELECT r_regionkey::DOUBLE AS KEY, r_name AS NAME FROM region")
+def second_member(spark: SparkSession, sf: str) -> DataFrame:
+    """One of two members of a transport file, by name."""
+    frames = {"NAT": _t(spark, sf, "nation").select(F.col("n_nationkey").cast("double").alias("KEY"), F.col("n_name").alias("NAME")), "REG": _t(spark, sf, "region").select(F.col("r_regionkey").cast("double").alias("KEY"), F.col("r_name").alias("NAME"))}
+    base, raw = _where(spark).removeprefix("file://"), b""
+    for name, d in frames.items():
+        io.write_dataset(set_meta(d, meta_from_frame(d, name)), f"{base}{name}.xpt")
+        with open(f"{base}{name}.xpt", "rb") as f:
+            raw += f.read()[240 if raw else 0 :]  # the library's three header records stand once
+    with open(f"{base}.xpt", "wb") as f:
+        f.write(raw)
+    return read_xpt(spark, f"{base}.xpt", member="reg").df.select("KEY", "NAME")
+
+
+@query("SELECT 'PRICE: ' || count(*) FILTER (o_orderkey % 5 = 0) || ' numbers that are not finite' AS told, true AS nothing_written FROM orders")
+def writer_refuses(spark: SparkSession, sf: str) -> DataFrame:
+    """A number that JSON has no form for stops the writer before anything is written."""
+    import os
+
+    d = _t(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 5 == 0, float("inf")).otherwise(F.col("o_totalprice")).alias("PRICE"))
+    path = f"{_where(spark).removeprefix('file://')}.ndjson"
+    try:
+        io.write_dataset(d, path)
+        told = "written"
+    except Exception as e:
+        told = str(e)
+    return spark.createDataFrame([(told, not os.path.exists(path))], "told string, nothing_written boolean")
+
+
+@query("SELECT count(*) AS n, max(length(c_name)) > 10 AS too_long, 0 AS dropped FROM customer")
+def conform_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Conforming reports what it can't mend and keeps all rows."""
+    spec = make_spec([{"dataset": "CUST", "keys": "c_custkey"}], [{"dataset": "CUST", "variable": "c_custkey", "data_type": "integer", "order": 1}, {"dataset": "CUST", "variable": "c_name", "data_type": "string", "order": 2, "length": 10}])
+    d = _t(spark, sf, "customer").select("c_name", F.col("c_custkey").cast("int").alias("c_custkey"))
+    x = apply_spec(d, spec, "CUST", conformance="warn")
+    told = [f for f in x.findings if f.check == "length_overflow"]
+    return x.df.agg(F.count("*").alias("n")).select("n", F.lit(bool(told)).alias("too_long"), F.lit(len(d.columns) - len(x.names)).alias("dropped"))
