@@ -11,7 +11,7 @@ def rows(spark, name, folder=SMALL):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def odd_documents(spark, extra="sig string, start long, size long, text_2 string"):
+def odd_documents(spark, extra="sig string, start long, size long, text_2 string, `a.b` string, TEXT int"):
     """Nulls in each column, empty and very long texts, repeated rows and ids, and extra columns of clashing names."""
     long = " ".join(f"w{i % 997}" for i in range(30_000)) + "\n" + "x" * 50_000
     data = [
@@ -30,7 +30,7 @@ def odd_documents(spark, extra="sig string, start long, size long, text_2 string
         (9, "one", "en", "z", 1),
         (10, "one", "en", "z", 1),
     ]
-    return spark.createDataFrame([(*r, "s", 1, 2, "t") for r in data], f"{DOCS}, {extra}")
+    return spark.createDataFrame([(*r, "s", 1, 2, "t", "dot", 3) for r in data], f"{DOCS}, {extra}")
 
 
 def empty_documents(spark):

@@ -6,6 +6,8 @@ from veraframe.llm.quality_rules import apply_rules, calibrate, counts, fit_rule
 
 import numpy as np
 
+from veraframe.llm.words import Features, Ftrl, margin
+
 from .helpers import MIDDLE, WORD, empty_documents, odd_documents, rows
 
 
@@ -58,6 +60,46 @@ def test_calibration_is_monotone_and_centred():
     assert calibrate(m, np.ones(4000, int)) == (1.0, 0.0)
 
 
+def test_updates_against_a_plain_loop():
+    """Follow-the-regularised-leader written out for one coordinate at a time, and scores as plain sums."""
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(30, 5, replace=False)), rng.random(5), int(rng.random() < 0.5)) for _ in range(200)]
+    model = Ftrl(30)
+    z, n = [0.0] * 31, [0.0] * 31
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.001 else -(z[i] - (0.001 if z[i] > 0 else -0.001)) / ((1 + n[i] ** 0.5) + 0.01)
+    for at, x, y in rows:
+        model.learn(at, x, y, 1.5)
+        pairs = [*zip(at.tolist(), x.tolist(), strict=True), (30, 1.0)]
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in pairs)))
+        for i, v, w in [(i, v, weight(i)) for i, v in pairs]:
+            g = (p - y) * v * 1.5
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) * w
+            n[i] += g * g
+    want = np.array([weight(i) for i in range(31)])
+    assert np.allclose(model.weights(), want)
+    at, x, _ = rows[0]
+    assert abs(margin(want, at, x) - (sum(want[i] * v for i, v in zip(at, x, strict=True)) + want[30])) < 1e-12
+
+
+def test_features_against_a_plain_count():
+    f = Features(bits=18, words=2)
+    at, x = f("one two one two three")
+    grams = Counter(["one", "two", "one", "two", "three"]) + Counter([("one", "two"), ("two", "one"), ("one", "two"), ("two", "three")])
+    assert np.allclose(np.sort(x), np.sort([(n / 9) ** 0.5 for n in grams.values()])) and len(set(at.tolist())) == len(grams)
+
+
+def test_probabilities_are_those_of_the_margin(spark):
+    docs, labels = rows(spark, "documents"), rows(spark, "labels")
+    v = fit_rules(docs, labels)
+    f = Features(18, 2, 4)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in apply_rules(docs, v).collect():
+        at, x = f(text[r.doc_id])
+        m = sum(float(v.weights[i]) * w for i, w in zip(at, x, strict=True)) + float(v.weights[-1])
+        assert abs(r.probability - 1 / (1 + np.exp(-np.clip(v.slope * m + v.shift, -30, 30)))) < 1e-4
+        assert r.kept == (not r.base_failed and r.probability >= 0.5)
+
+
 def test_odd_rows(spark):
     docs, labels = odd_documents(spark), rows(spark, "labels", MIDDLE)
     w = fit_quality(rows(spark, "documents", MIDDLE), labels)

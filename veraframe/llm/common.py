@@ -86,7 +86,8 @@ def by_place(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
 
 def whole_ids(docs: DataFrame, id_col: str) -> None:
     """Refuse ids that aren't whole numbers."""
-    kind = dict(docs.dtypes)[id_col]
+    d, (i,) = by_place(docs, id_col)
+    kind = dict(d.dtypes)[i]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"ids must be whole numbers, not of type {kind}")
 

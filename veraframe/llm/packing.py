@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_of
+from .common import Scratch, by_place, table, text_of, whole_ids
 from .token_counts import default_vocabulary
 from .tokens import counter
 
@@ -29,7 +29,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_
     Only the last sequence may be shorter. No id is moved between tasks, however long one document is.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` also ids
-    (little-endian unsigned 32-bit). Null and empty texts hold the end id alone; null and repeated ids are packed
+    (little-endian unsigned 32-bit). Ids must be whole numbers. Null and empty texts hold the end id alone; null and repeated ids are packed
     like others; extra columns are not read, and an empty table gives no pieces.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
@@ -48,8 +48,10 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_
                 narrow = [b"\x02" + v.astype("<u2").tobytes() if (v := np.frombuffer(x, "<u4")).max() < 65536 else b"\x04" + x for x in ids]
                 yield pa.RecordBatch.from_arrays([part_of.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(starts), pa.array(n), pa.array(narrow, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
 
+    whole_ids(docs, id_col)
     scratch = Scratch(spark, "packing")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    d, (i, t) = by_place(docs, id_col, text_col)
+    source = d.select(F.col(i).cast("long").alias("doc_id"), text_of(t).alias("text"))
     encoded = scratch.save(source.mapInArrow(encode, "doc_id long, part long, at long, n long, ids binary"), "ids")
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     offsets = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

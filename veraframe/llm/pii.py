@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_place, table, text_of
 
 #: Kinds of the base rules, then those that the method adds.
 BASE, ADDED = ("email", "ip", "card", "phone"), ("url", "iban", "account")
@@ -143,7 +143,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:])], [b.schema.names[0], *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    d, (i, t) = by_place(docs, id_col, text_col)
+    rows = d.select(F.col(i).alias(id_col), text_of(t).alias("_text"))
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(search, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
 

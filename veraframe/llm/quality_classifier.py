@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_place, table
 from .words import Features, labelled, scored, train
 
 #: Folds of crc32(doc_id) mod 3 that are learnt from, and the most labelled rows that are.
@@ -25,7 +25,8 @@ def classify(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_
     Null and empty texts get the score of the bias alone. A null id is not held out. Extra columns are not read, and
     repeated rows get a row each. Without any label to learn from each score is 0.5, and nothing is rejected.
     """
-    rows = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights, FEATURES)
+    d, (i, t) = by_place(docs, id_col, text_col)
+    rows = scored(d.select(F.col(i).alias("id"), F.col(t).alias("text")), weights, FEATURES)
     held = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)) == 1
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("margin")))))
     return rows.select(F.col("id").alias(id_col), F.coalesce(held, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
@@ -33,8 +34,8 @@ def classify(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_
 
 def keep_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, in their own columns, whose text is not rejected."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = scored(docs.toDF(*names), weights, FEATURES, names[docs.columns.index(text_col)], "_margin")
+    d, (text,) = by_place(docs, text_col)
+    rows = scored(d, weights, FEATURES, text, "_margin")
     return rows.where("_margin >= 0").drop("_margin").toDF(*docs.columns)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_place, table, text_of
 from .words import Features, labelled, margin, probability, scored, train
 
 #: Folds of crc32(doc_id) mod 3: for the weights, and for the calibration; the most labelled rows for each.
@@ -107,7 +107,8 @@ def apply_rules(docs: DataFrame, verdict: Verdict, threshold: float = THRESHOLD,
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [b.schema.names[0], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
 
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    d, (i, t) = by_place(docs, id_col, text_col)
+    rows = d.select(F.col(i).alias(id_col), text_of(t).alias("_text"))
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(judge, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import Scratch, table, text_of
+from .common import Scratch, by_place, table, text_of
 from .tokens import counter, version_digest
 
 
@@ -44,10 +44,11 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str | None = None
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     version = version_digest(vocabulary)
-    text = text_of(text_col)
+    d, (i, t) = by_place(docs, id_col, text_col)
+    text = text_of(t)
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    rows = docs.select(F.col(id_col).alias(id_col), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    texts = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    rows = d.select(F.col(i).alias("id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    texts = d.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     stored = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     missing = texts.join(stored.select("digest"), "digest", "left_anti")
 
@@ -63,7 +64,7 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str | None = None
     stored = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Written once, so that the join deals both sides itself and a digest that many rows bear is split.
     found = rows.join(Scratch(spark, "token-counts").save(stored, "stored"), "digest")
-    return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
+    return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import by_place
+
 #: A token of a text: letters, digits, or other signs; white space is not part of any.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Names a worker's cache holds; it is emptied when full.
@@ -106,14 +108,16 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int, .
     """(id, text, y) of at most ``most`` labelled documents whose crc32(id as text) mod 3 is in ``folds``.
 
     Which ones is decided by a hash of the id. Ids with contradicting or null labels are left out. The ids are at
-    most ``most``, so they are broadcast.
+    most ``most``, so they are broadcast. Of a repeated id the least text is taken.
     """
-    l = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
+    l, (i, y) = by_place(labels, id_col, label)
+    l = l.select(F.col(i).alias("_id"), F.col(y).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
     l = l.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(3)).isin(list(folds)))
     l = l.groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
     l = l.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(l), "_id").groupBy("_id").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    d, (i, t) = by_place(docs, id_col, text_col)
+    d = d.select(F.col(i).alias("_id"), F.col(t).alias("text"))
+    return d.join(F.broadcast(l), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def train(sample: DataFrame, features: Features, shards: int = 2, epochs: int = 4) -> np.ndarray:
