@@ -78,6 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written to the shared folder and read again by the next."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if i:  # what this stage read is not read again
+            scratch.drop(STAGES[i - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -93,18 +93,20 @@ def outside(c: Column, terms: list[str], required: bool) -> Column:
 def offenders(df: DataFrame, tests: dict[str, tuple[Column, Column]]) -> dict[str, tuple[int, list[str]]]:
     """For each name of (value, is bad): how many distinct bad values, and the first of them in byte order.
 
-    One pass over the data for all names; distinct values are counted by shuffle and only samples reach the driver.
+    One pass over the data for all names: its distinct bad values are kept for the two jobs that count them and take
+    the first of them; only samples reach the driver.
     """
     if not tests:
         return {}
     pairs = F.array(*[F.when(bad, F.struct(F.lit(k).alias("name"), F.coalesce(v, F.lit("<NA>")).alias("value"))) for k, (v, bad) in tests.items()])
-    found = df.select(F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).select("p.name", "p.value").distinct()
+    found = df.select(F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).select("p.name", "p.value").distinct().persist()
     by = Window.partitionBy("name").orderBy("value")
     few = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLES)
     counts = {r["name"]: r["n"] for r in found.groupBy("name").agg(F.count("*").alias("n")).collect()}
     samples: dict[str, list[str]] = {k: [] for k in counts}
     for r in few.orderBy("name", "rank").collect():
         samples[r["name"]].append(r["value"])
+    found.unpersist()
     return {k: (n, samples[k]) for k, n in counts.items()}
 
 
@@ -134,7 +136,7 @@ class _Plan:
 def check_spec(x: DataFrame | Dataset, spec: Spec, dataset: str, decode: str = "none", checks: Checks | None = None) -> list[Finding]:
     """Findings of a dataset against its specification, in a fixed order.
 
-    Three jobs at most, however many variables: one aggregate of all counts and lengths, one for the distinct values
+    Three passes at most, however many variables: one aggregate of all counts and lengths, one for the distinct values
     of the columns found to offend, and one by key. ``decode`` says whether coded columns hold terms or decodes.
     """
     if decode not in ("none", "to_decode", "to_code"):
