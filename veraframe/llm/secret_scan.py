@@ -16,6 +16,7 @@ from .common import Scratch, by_place, table, text_of
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What may be a credential by its letters alone.
@@ -29,7 +30,8 @@ ALPHA, LEAST_BITS = 0.05, 0.75
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, credential) by start, then kind."""
-    found = [("assign", *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+    low = text.lower()  # any text that the pattern finds holds one of the words here
+    found = [("assign", *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] if any(w in low for w in _WORDS) else []
     if "AKIA" in text:
         found += [("access", *m.span(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span(), m[0]) for m in _HEX.finditer(text)]
@@ -197,10 +199,13 @@ class Formats:
     def score(self, value: str) -> float:
         """Bits by character by which the likeliest format that has the value in its language beats other candidates."""
         s = symbols(value)
+        fit = [a for a in self.automata if a.accepts(s)]
+        if not fit:  # nearly all words
+            return -math.inf
         other = sum(self.plain[c] for c in [*s, "end"])
         if self.other is not None:
             other = max(other, self.other.bits(s, self.plain))
-        return max(((a.bits(s, self.plain) - other) / (len(s) + 1) for a in self.automata if a.accepts(s)), default=-math.inf)
+        return max((a.bits(s, self.plain) - other) / (len(s) + 1) for a in fit)
 
 
 def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
