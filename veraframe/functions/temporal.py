@@ -52,9 +52,15 @@ def date_from_days(n: Column) -> Column:
     return F.date_add(F.lit(EPOCH).cast("date"), F.floor(n).cast("int"))
 
 
+def _micros(s: Column) -> Column:
+    """Whole microseconds of a number of seconds; whole seconds apart, as their product in double precision is exact up to 285 years only."""
+    whole = s.cast("long")
+    return whole * 1_000_000 + F.round((s - whole) * 1_000_000).cast("long")
+
+
 def datetime_from_seconds(s: Column) -> Column:
     """An instant from seconds since the epoch, to the microsecond."""
-    return _ntz(F.round(s * 1_000_000).cast("long"))
+    return _ntz(_micros(s))
 
 
 def _ntz(micros: Column) -> Column:
@@ -70,7 +76,7 @@ def interval(micros: Column) -> Column:
 
 
 def time_from_seconds(s: Column) -> Column:
-    return interval(F.round(s * 1_000_000).cast("long"))
+    return interval(_micros(s))
 
 
 def date_from_iso(c: Column) -> Column:
@@ -138,7 +144,7 @@ def deflated(c: Column, kind: str) -> Column:
 def time_text(c: Column) -> Column:
     """``[-]HH:MM:SS[.ffffff]`` of an interval, without trailing zeros; hours may exceed 24."""
     micros = micros_of(c)
-    s = F.floor(F.abs(micros) / 1_000_000)
+    s = F.call_function("div", F.abs(micros), F.lit(1_000_000))
     clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
     rest = F.pmod(F.abs(micros), F.lit(1_000_000))
     fraction = F.when(rest > 0, F.rtrim(F.format_string(".%06d", rest), F.lit("0"))).otherwise("")
