@@ -307,3 +307,26 @@ def test_plain_text_meets_no_python(spark, tmp_path):
     assert "ArrowEvalPython" in plan(row_text(Dataset(odd, meta_from_frame(odd))))
     io.write_dataset(odd, f"{tmp_path}/o.parquet")
     assert io.read_dataset(spark, f"{tmp_path}/o.parquet").df.first()[1] == "café"
+
+
+def test_json_rows_are_found_in_pieces(spark, tmp_path, monkeypatch):
+    """Cuts anywhere: in texts, behind backslashes, between brackets; the rows member needn't be the last."""
+    from veraframe.sources import pieces
+
+    columns = [{"itemOID": f"IT.{n}", "name": n, "label": "", "dataType": t} for n, t in (("A", "string"), ("N", "integer"))]
+    rows = [['x]"[\\', 1], ["\\\\", None], [None, 2], ['],["rows": [', 3], ["é\n{", 4]]
+    doc = {"datasetJSONVersion": "1.1.0", "other": [[1, 2], "rows"], "name": "T", "columns": columns, "rows": rows, "more": {"rows": [[0]]}}
+    texts = [json.dumps(doc, ensure_ascii=False), json.dumps(doc, indent=1)]
+    for size in (41, 64):
+        monkeypatch.setattr(pieces, "PIECE", size)
+        for i, text in enumerate(texts):
+            path = tmp_path / f"{size}-{i}.json"
+            path.write_text(text, encoding="utf-8")
+            x = io.read_dataset(spark, str(path))
+            assert x.df.rdd.getNumPartitions() == -(-path.stat().st_size // size) and x.meta.dataset["name"] == "T"
+            assert [list(r) for r in x.df.collect()] == rows
+            assert [list(r) for r in io.read_dataset(spark, str(path), n_max=3).df.collect()] == rows[:3]
+    for i, wrong in enumerate((texts[0].replace(', [null, 2]', ' [null, 2]'), texts[0].replace(', [null, 2]', ', x [null, 2]'), texts[0].replace("[null, 2]", "[null 2]"))):
+        (tmp_path / f"w{i}.json").write_text(wrong, encoding="utf-8")
+        with pytest.raises(Exception, match="rows can't be read|is no Dataset-JSON"):
+            io.read_dataset(spark, f"{tmp_path}/w{i}.json").df.collect()

@@ -12,6 +12,7 @@ from ..functions.text import charset
 from ..meta import Dataset, as_dataset, parse, payload, stamp
 from .files import check_path, text_lines, write_one_file
 from .json_rows import cells, narrowed, row_text, special_rows, with_special
+from .pieces import document, pieces
 
 
 def write_json(x: Dataset | DataFrame, path: str, on_invalid: str = "error", created: str | None = None, strict: bool = False) -> Dataset:
@@ -24,11 +25,36 @@ def write_json(x: Dataset | DataFrame, path: str, on_invalid: str = "error", cre
 
 
 def read_json(spark: SparkSession, path: str, col_select: list[str] | None = None, n_max: int | None = None, encoding: str | None = None) -> Dataset:
-    """Read one document, in the character set ``encoding``, UTF-8 unless given. It isn't splittable, so one task parses it (2 GB at most); NDJSON is the form for larger ones.
+    """Read one document, in the character set ``encoding``, UTF-8 unless given.
 
-    The driver sees the metadata, never the rows.
+    Tasks read pieces of a file that they can open by its path, and find rows by brackets and quotes; a file that is
+    compressed or of another character set is one stream. In other stores one task parses the document whole (2 GB at
+    most). The driver sees the metadata, never the rows.
     """
     path = check_path(path)
+    p = pieces(path, encoding)
+    doc = document(spark, p) if p else None
+    head, whole = (doc.head, None) if doc else _whole(spark, path, encoding)
+    try:
+        meta, special = parse({k: v for k, v in head.items() if k != "rows"})
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise CodecError(f"{path}: bad metadata: {e}", path=path) from e
+    meta = meta.with_dataset(encoding=charset(encoding)) if encoding else meta
+    unread = F.raise_error(F.lit(f"{path}: rows can't be read"))
+    if doc:
+        rows = doc.lines(spark, n_max, bool(special)).select("_row", F.coalesce(F.from_json("value", "array<string>"), unread.cast("array<string>")).alias("cells"))
+    else:
+        array = F.from_json(F.coalesce(F.get_json_object("value", "$.rows"), F.lit("[]")), "array<array<string>>")
+        rows = whole.select(F.posexplode(F.coalesce(array, unread)).alias("_row", "cells")).withColumn("_row", F.col("_row").cast("long") + 1)
+    df = rows.select("_row", *cells(F.col("cells"), meta, path))
+    df = with_special(df, special, "_row") if special else df
+    df = (df.orderBy("_row") if special or n_max is not None else df).drop("_row")
+    df = df.limit(n_max) if n_max is not None else df
+    return Dataset(stamp(narrowed(df, meta), meta), meta)
+
+
+def _whole(spark: SparkSession, path: str, encoding: str | None) -> tuple[dict, DataFrame]:
+    """The head of a document that one task holds whole, and its text."""
     text = F.ltrim("value", F.lit("﻿"))
     doc = text_lines(spark, path, wholetext=True, encoding=encoding).select(text.alias("value"))
     first = doc.select(F.json_object_keys("value").alias("keys"), F.contains(F.col("value"), F.lit("\x00")).alias("nul")).first()
@@ -36,17 +62,7 @@ def read_json(spark: SparkSession, path: str, col_select: list[str] | None = Non
         raise CodecError(f"{path} is no Dataset-JSON document", path=path)
     names = [k for k in first["keys"] if k != "rows"]
     got = doc.select(*[F.get_json_object("value", f"$['{k}']").alias(f"_{i}") for i, k in enumerate(names)]).first()
-    try:
-        meta, special = parse({k: _value(got[i]) for i, k in enumerate(names)})
-    except (ValueError, KeyError, TypeError) as e:
-        raise CodecError(f"{path}: bad metadata: {e}", path=path) from e
-    meta = meta.with_dataset(encoding=charset(encoding)) if encoding else meta
-    array = F.from_json(F.coalesce(F.get_json_object("value", "$.rows"), F.lit("[]")), "array<array<string>>")
-    rows = doc.select(F.posexplode(F.coalesce(array, F.raise_error(F.lit(f"{path}: rows can't be read")))).alias("_row", "cells")).withColumn("_row", F.col("_row").cast("long") + 1)
-    df = rows.select("_row", *cells(F.col("cells"), meta, path))
-    df = (with_special(df, special, "_row").orderBy("_row") if special else df).drop("_row")
-    df = df.limit(n_max) if n_max is not None else df
-    return Dataset(stamp(narrowed(df, meta), meta), meta)
+    return {k: _value(got[i]) for i, k in enumerate(names)}, doc
 
 
 def _value(text: str | None) -> object:
