@@ -28,7 +28,7 @@ def read_json(spark: SparkSession, path: str, col_select: list[str] | None = Non
     """Read one document, in the character set ``encoding``, UTF-8 unless given.
 
     Tasks read pieces of a file that they can open by its path, and find rows by brackets and quotes; a file that is
-    compressed or of another character set is one stream. In other stores one task parses the document whole (2 GB at
+    compressed by another writer or of another character set is one stream. In other stores one task parses the document whole (2 GB at
     most). The driver sees the metadata, never the rows.
     """
     path = check_path(path)

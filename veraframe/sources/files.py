@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import shutil
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -50,12 +53,68 @@ def file_size(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
 
 
+#: Bytes of text in a member of a gzip file.
+MEMBER = 8 << 20
+_MEMBER = struct.Struct("<2sBBIBBH2sHI")
+
+
+def gzip_member(data: bytes) -> bytes:
+    """A member of a gzip file whose extra field tells its own size, by which readers go from one to the next."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    packed = z.compress(data) + z.flush()
+    size = _MEMBER.size + len(packed) + 8
+    return _MEMBER.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 8, b"VF", 4, size) + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def gzip_members(path: str) -> list[tuple[int, int, int]] | None:
+    """Offset, size and size of the text of each member of a gzip file in order; None unless all of them tell their sizes."""
+    out, at, end = [], 0, os.path.getsize(path)
+    with open(path, "rb") as f:
+        while at < end:
+            f.seek(at)
+            head = f.read(_MEMBER.size)
+            if len(head) < _MEMBER.size:
+                return None
+            magic, method, flags, _, _, _, extra, mark, length, size = _MEMBER.unpack(head)
+            if (magic, method, flags, extra, mark, length) != (b"\x1f\x8b", 8, 4, 8, b"VF", 4) or size <= _MEMBER.size or at + size > end:
+                return None
+            f.seek(at + size - 4)
+            out.append((at, size, int.from_bytes(f.read(4), "little")))
+            at += size
+    return out
+
+
+class _Packed(io.RawIOBase):
+    """Packs what is written to a file as members."""
+
+    def __init__(self, out: io.BufferedIOBase) -> None:
+        self.out, self.held = out, bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data: bytes) -> int:
+        self.held += data
+        while len(self.held) >= MEMBER:
+            self.out.write(gzip_member(bytes(self.held[:MEMBER])))
+            del self.held[:MEMBER]
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            if self.held:
+                self.out.write(gzip_member(bytes(self.held)))
+            self.out.close()
+        super().close()
+
+
 def write_one_file(records: DataFrame, path: str, head: bytes = b"", tail: bytes = b"", between: bytes = b"", pad_to: int = 0, pad: bytes = b" ", gz: bool = False) -> int:
     """Write one column of binary or text records to one file, in partition order; the number of records.
 
     Each task writes a part beside the file, named by its partition, and replaces what a lost attempt left. The driver
     then joins the parts behind the head by copying files, and puts the result in place by a rename: a reader sees the
-    whole file or none. For one exchange file; a table of cluster size is better written as a folder of parts.
+    whole file or none. With ``gz`` the tasks compress their parts, which are members of the file. For one exchange
+    file; a table of cluster size is better written as a folder of parts.
     """
     path = local(check_path(path))
     parts = f"{path}.{uuid.uuid4().hex}.parts"
@@ -64,35 +123,37 @@ def write_one_file(records: DataFrame, path: str, head: bytes = b"", tail: bytes
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, n = TaskContext.get().partitionId(), 0
         attempt = f"{parts}/{k:08d}.{TaskContext.get().taskAttemptId()}"
-        with open(attempt, "wb") as f:
+        f = open(attempt, "wb")
+        with _Packed(f) if gz else f as out:
             for b in batches:
-                for v in b.column(0).to_pylist():
-                    if n:
-                        f.write(between)
-                    f.write(v if isinstance(v, bytes) else v.encode())
-                    n += 1
+                values = [v if isinstance(v, bytes) else v.encode() for v in b.column(0).to_pylist()]
+                if values:
+                    out.write((between if n else b"") + between.join(values))
+                    n += len(values)
         os.replace(attempt, f"{parts}/{k:08d}.done")
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64())], ["k", "n"])
 
     try:
         counts = {r["k"]: r["n"] for r in records.mapInArrow(write, "k long, n long").collect()}  # a row for each task
         temporary = f"{parts}/whole"
-        with (gzip.open if gz else open)(temporary, "wb") as out:
-            out.write(head)
+        packed = gzip_member if gz else bytes
+        with open(temporary, "wb") as out:
+            out.write(packed(head))
             size, first = len(head), True
             for k in sorted(counts):
                 if counts[k]:
-                    if not first:
-                        out.write(between)
+                    if not first and between:
+                        out.write(packed(between))
                         size += len(between)
                     first = False
                     with open(f"{parts}/{k:08d}.done", "rb") as f:
                         shutil.copyfileobj(f, out, 1 << 20)
                     size += Path(f"{parts}/{k:08d}.done").stat().st_size
-            out.write(tail)
+            if tail:
+                out.write(packed(tail))
             size += len(tail)
             if pad_to and size % pad_to:
-                out.write(pad * (pad_to - size % pad_to))
+                out.write(packed(pad * (pad_to - size % pad_to)))
         os.replace(temporary, path)
         return sum(counts.values())
     finally:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import CodecError
 from ..functions.text import charset, python_codec
+from .files import gzip_members
 
 #: Bytes that a task holds at once; a row that is longer is held whole.
 PIECE = 8 << 20
@@ -29,17 +30,22 @@ _KEY = re.compile(rb'("(?:[^"\\]|\\.)*")\s*:\s*\Z', re.S)
 
 @dataclass(frozen=True)
 class Pieces:
-    """Offset and size of each piece of a file in a folder that all share; one that can't be split is a single stream, read block by block."""
+    """Offset and size of each piece of a file in a folder that all share, a range of bytes or gzip members that tell their sizes.
+
+    A file that can't be split is a single stream, read block by block.
+    """
 
     path: str
     places: tuple[tuple[int, int], ...]
     stream: bool = False
     codec: str = "utf-8"
+    packed: bool = False
 
     def blocks(self, i: int) -> Iterator[bytes]:
         """What piece i holds, in UTF-8."""
         if not self.stream:
-            yield self._read(*self.places[i])
+            raw = self._read(*self.places[i])
+            yield gzip.decompress(raw) if self.packed else raw
             return
         with open(self.path, "rb") as f:
             packed = f.read(2) == b"\x1f\x8b"
@@ -54,6 +60,10 @@ class Pieces:
         """What follows piece i, little at first."""
         if self.stream:
             return
+        if self.packed:
+            for k in range(i + 1, len(self.places)):
+                yield from self.blocks(k)
+            return
         at, size = sum(self.places[i]), 1 << 16
         while block := self._read(at, size):
             yield block
@@ -84,8 +94,18 @@ def pieces(path: str, encoding: str | None = None) -> Pieces | None:
     size, name = os.path.getsize(path), charset(encoding or "UTF-8")
     with open(path, "rb") as f:
         packed = f.read(2) == b"\x1f\x8b"
-    if packed or name not in ("UTF-8", "US-ASCII"):
-        return Pieces(path, ((0, size),), True, "utf-8" if name in ("UTF-8", "US-ASCII") else python_codec(name))
+    utf8 = name in ("UTF-8", "US-ASCII")
+    if packed and utf8 and (members := gzip_members(path)):
+        groups: list[list[int]] = []
+        for at, length, text in members:
+            if groups and groups[-1][2] + text <= PIECE:
+                groups[-1][1] += length
+                groups[-1][2] += text
+            else:
+                groups.append([at, length, text])
+        return Pieces(path, tuple((at, length) for at, length, _ in groups), packed=True)
+    if packed or not utf8:
+        return Pieces(path, ((0, size),), True, "utf-8" if utf8 else python_codec(name))
     return Pieces(path, tuple((at, min(PIECE, size - at)) for at in range(0, max(size, 1), PIECE)))
 
 
@@ -308,3 +328,36 @@ def rows_of(blocks: Iterator[bytes], state: State, at: int, end: int, a: int, b:
             return
         kept, state = data[starts[n] :], State(0, 1 if n == 0 and first is not None else 2, 0)
         at += int(starts[n])
+
+
+def lines_of(p: Pieces, i: int) -> Iterator[pa.Array]:
+    """The lines of piece i, with what its last one goes on with behind it; a line that began before is that piece's.
+
+    As a piece can't know whether the one before it ends with a line, it leaves out its first and takes one more behind its end.
+    """
+    data = b"".join(p.blocks(i))
+    if i:
+        cut = data.find(b"\n")
+        if cut < 0:
+            return
+        data = data[cut + 1 :]
+    rest = []
+    for block in p.after(i):
+        cut = block.find(b"\n")
+        rest.append(block[: cut + 1] if cut >= 0 else block)
+        if cut >= 0:
+            break
+    data += b"".join(rest)
+    if not data:
+        return
+    data += b"" if data.endswith(b"\n") else b"\n"
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b == 10)
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int32)
+    yield pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(b[b != 10]))])
+
+
+def text_pieces(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame | None:
+    """The lines of a gzip file whose members tell their sizes, in order, a task for each; None for any other file."""
+    p = pieces(path, encoding)
+    return p.each(spark, lambda i: (_batch(value=x) for x in lines_of(p, i)), "value string") if p and p.packed else None
