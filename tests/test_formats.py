@@ -330,3 +330,31 @@ def test_json_rows_are_found_in_pieces(spark, tmp_path, monkeypatch):
         (tmp_path / f"w{i}.json").write_text(wrong, encoding="utf-8")
         with pytest.raises(Exception, match="rows can't be read|is no Dataset-JSON"):
             io.read_dataset(spark, f"{tmp_path}/w{i}.json").df.collect()
+
+
+def test_gzip_members_are_read_apart(spark, tmp_path, monkeypatch):
+    """Members that tell their sizes are read by a task each, wherever they are cut; others as one stream; all tools unpack both."""
+    from veraframe.sources import pieces
+    from veraframe.sources.files import gzip_member, gzip_members
+
+    columns = [{"itemOID": f"IT.{n}", "name": n, "label": "", "dataType": t} for n, t in (("A", "string"), ("N", "integer"))]
+    rows = [['x]"[\\', 1], ["\\\\", None], [None, 2], ['],["rows": [', 3], ["é\n{", 4]]
+    head = {"datasetJSONVersion": "1.1.0", "name": "T", "columns": columns}
+    texts = {"json": json.dumps(head | {"rows": rows}, ensure_ascii=False), "ndjson": "\n".join(json.dumps(x, ensure_ascii=False) for x in (head, *rows))}
+    monkeypatch.setattr(pieces, "PIECE", 1)
+    for name, text in texts.items():
+        raw = text.encode()
+        for size in (23, 60):
+            path = tmp_path / f"{size}.{name}.gz"
+            path.write_bytes(b"".join(gzip_member(raw[i : i + size]) for i in range(0, len(raw), size)))
+            assert gzip.open(path).read() == raw and [r.value for r in spark.read.text(str(path)).collect()] == text.split("\n")
+            x = io.read_dataset(spark, str(path))
+            assert x.df.rdd.getNumPartitions() == -(-len(raw) // size) and [list(r) for r in x.df.collect()] == rows
+            assert [list(r) for r in io.read_dataset(spark, str(path), n_max=3).df.collect()] == rows[:3]
+        (tmp_path / f"one.{name}.gz").write_bytes(gzip.compress(raw))
+        assert gzip_members(f"{tmp_path}/one.{name}.gz") is None
+        assert [list(r) for r in io.read_dataset(spark, f"{tmp_path}/one.{name}.gz").df.collect()] == rows
+        # The writer's own files: tasks' parts are members.
+        io.write_dataset(x, f"{tmp_path}/own.{name}.gz")
+        assert len(gzip_members(f"{tmp_path}/own.{name}.gz")) > 2
+        assert [list(r) for r in io.read_dataset(spark, f"{tmp_path}/own.{name}.gz").df.collect()] == rows

@@ -12,6 +12,7 @@ from ..functions.text import charset
 from ..meta import Dataset, Meta, as_dataset, parse, payload, stamp
 from .files import _is_folder, check_path, text_lines, write_one_file
 from .json_rows import PLACE, cells, first_rows, narrowed, placed, row_text, special_rows, tagged_columns, with_special
+from .pieces import text_pieces
 
 
 def write_ndjson(x: Dataset | DataFrame, path: str, on_invalid: str = "error", created: str | None = None, strict: bool = False, layout: str = "file") -> Dataset:
@@ -65,21 +66,21 @@ def rows_schema(kept: DataFrame, meta: Meta, where: str, tagged: list[str] | Non
 
 
 def read_ndjson(spark: SparkSession, path: str, col_select: list[str] | None = None, n_max: int | None = None, encoding: str | None = None) -> Dataset:
-    """Read a file or a folder of parts. Lines are split over tasks; no column is kept that isn't selected.
+    """Read a file or a folder of parts. Lines are split over tasks, of a gzip file by members where these tell their sizes; no column is kept that isn't selected.
 
     The first line of a file is its metadata; any other line that is no row, and any cell that its column can't hold,
     is an error when it is read. ``encoding`` names the character set of a single file, UTF-8 unless given.
     """
     path = check_path(path)
     folder = _is_folder(spark, path)
-    every = spark.read.text(f"{path}/rows") if folder else text_lines(spark, path, encoding=encoding)
+    every = spark.read.text(f"{path}/rows") if folder else text_pieces(spark, path, encoding) or text_lines(spark, path, encoding=encoding)
     meta, special, head = head_of(spark.read.text(f"{path}/head") if folder else every, path)
     meta = meta.with_dataset(encoding=charset(encoding)) if encoding else meta
     lines = row_lines(every, None if folder else head)
     tagged = special["inRows"] if isinstance(special.get("inRows"), list) else None
     numbered = bool(special) and tagged is None  # tags are by row number, which only the order of lines gives
     if n_max is not None:
-        lines = first_rows(placed(lines), n_max, list(PLACE)) if every.inputFiles() else lines.limit(n_max)
+        lines = first_rows(placed(lines), n_max, list(PLACE)) if every.inputFiles() else first_rows(lines, n_max, [])
     if numbered:
         # With a bound the lines are few and in order; else they are counted by task, which is in the order of the file.
         lines = lines.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1)).toDF("value string, _row long")
